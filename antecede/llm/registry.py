@@ -6,11 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .line_rules import OP8_SQL, op8_line_rules
+from .mixing import op2_entropy_balancing
 from .packing import op3_packing
+from .sharding import op6_virtual_slots
 from .sstable import op1_sstable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sstable": op1_sstable,
+    "op2_entropy_balancing": op2_entropy_balancing,
     "op3_packing": op3_packing,
+    "op6_virtual_slots": op6_virtual_slots,
+    "op8_line_rules": op8_line_rules,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_line_rules": OP8_SQL}
