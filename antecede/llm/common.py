@@ -64,3 +64,25 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 def unsigned_crc32(column) -> F.Column:
     """Unsigned CRC-32 of a string's UTF-8 bytes; a null string counts as no bytes."""
     return F.crc32(F.coalesce(column, F.lit("")).cast("binary"))
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once for each application, wherever the driver found it."""
+    import os
+    import zipfile
+
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="antecede-"), "antecede_code.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for at, _, names in os.walk(root):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                full = os.path.join(at, name)
+                out.write(full, os.path.relpath(full, os.path.dirname(root)))
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(app)
