@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chosen_path import op9_chosen_path
 from .common import ship
 from .language_id import op7_naive_bayes
 from .line_rules import OP8_SQL, op8_line_rules
@@ -34,6 +35,7 @@ _ALL: dict[str, Query] = {
     "op6_virtual_slots": op6_virtual_slots,
     "op7_naive_bayes": op7_naive_bayes,
     "op8_line_rules": op8_line_rules,
+    "op9_chosen_path": op9_chosen_path,
 }
 QUERIES: dict[str, Query] = {name: _shipped(query) for name, query in _ALL.items()}
 ORACLE_SQL: dict[str, str] = {"op5_url_vocabulary": OP5_SQL, "op8_line_rules": OP8_SQL}
