@@ -86,3 +86,24 @@ def ship(spark: SparkSession) -> None:
                 out.write(full, os.path.relpath(full, os.path.dirname(root)))
     spark.sparkContext.addPyFile(path)
     _shipped.add(app)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of steps whose results are written already."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def with_nth(docs: DataFrame) -> DataFrame:
+    """Adds ``_doc`` (doc_id as long, the least long for null) and ``_nth``, which together name a row.
+
+    Where doc_ids are unique, as they should be, _nth is 0; rows that share one are numbered by text.
+    """
+    from pyspark.sql import Window
+
+    named = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
+    if named.groupBy("_doc").count().where("count > 1").isEmpty():
+        return named.withColumn("_nth", F.lit(0))
+    return named.withColumn("_nth", F.row_number().over(Window.partitionBy("_doc").orderBy("text")) - 1)

@@ -14,6 +14,7 @@ from .mixing import op2_entropy_balancing
 from .packing import op3_packing
 from .sharding import op6_virtual_slots
 from .sstable import op1_sstable
+from .suffix_dedup import op10_prefix_doubling
 from .url_filter import OP5_SQL, op5_url_vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +37,7 @@ _ALL: dict[str, Query] = {
     "op7_naive_bayes": op7_naive_bayes,
     "op8_line_rules": op8_line_rules,
     "op9_chosen_path": op9_chosen_path,
+    "op10_prefix_doubling": op10_prefix_doubling,
 }
 QUERIES: dict[str, Query] = {name: _shipped(query) for name, query in _ALL.items()}
 ORACLE_SQL: dict[str, str] = {"op5_url_vocabulary": OP5_SQL, "op8_line_rules": OP8_SQL}
