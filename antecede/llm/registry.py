@@ -11,6 +11,7 @@ from .common import ship
 from .language_id import op7_naive_bayes
 from .line_rules import OP8_SQL, op8_line_rules
 from .mixing import op2_entropy_balancing
+from .nn_descent import op4_nn_descent
 from .packing import op3_packing
 from .sharding import op6_virtual_slots
 from .sstable import op1_sstable
@@ -32,6 +33,7 @@ _ALL: dict[str, Query] = {
     "op1_sstable": op1_sstable,
     "op2_entropy_balancing": op2_entropy_balancing,
     "op3_packing": op3_packing,
+    "op4_nn_descent": op4_nn_descent,
     "op5_url_vocabulary": op5_url_vocabulary,
     "op6_virtual_slots": op6_virtual_slots,
     "op7_naive_bayes": op7_naive_bayes,
