@@ -13,11 +13,13 @@ repeat are left out first, and runs that repeat as a whole are decided as a whol
 2. *Segments.* Spark sorts the segments by anchor. An anchor found once: no window of the segment repeats. A
    segment whose bytes were found earlier: all of its windows repeat. Only the first segments of each content,
    where an anchor has several contents, keep undecided windows.
-3. *Prefix doubling* on the undecided windows: initial ranks of ``threshold / 4`` bytes, then pairs at offsets
-   ``threshold / 4`` and ``threshold / 2``.
+3. *Prefix doubling* from the anchors of those segments. The rank of an anchor is paired with that of the bytes
+   before it and with that of the bytes after it, half of what is missing to the threshold each; every window
+   holds one of the two pairs whole, and windows whose pair is unique drop out. What is left is ranked by its
+   first and second half (each a pair of quarters), and then by both together.
 
-Ranks are named by 64-bit fingerprints of what they rank, so equal strings have equal names without a count over
-the whole table; a window is known by two of them, a segment by two times 48 bits.
+Ranks are named by fingerprints of what they rank, so equal strings have equal names without a count over the
+whole table; a segment and a window are known by 96 bits.
 """
 
 from __future__ import annotations
@@ -38,6 +40,7 @@ ANCHOR = 36
 _PART = 1 << 19
 _PLACE = np.uint64((1 << 20) - 1)
 _INT = np.int64
+_MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
 class Fingerprints:
@@ -51,8 +54,8 @@ class Fingerprints:
         return mixed((self.sums[end] - self.sums[begin]) * self.inverse[begin])
 
 
-def segments(data: np.ndarray, threshold: int, anchor: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """First window, number of windows, anchor name and content name of each segment of a text's bytes."""
+def segments(data: np.ndarray, threshold: int, anchor: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """First window, number of windows, place of the anchor, anchor name and content name of each segment."""
     width = threshold - anchor + 1
     for at in range(0, len(data) - threshold + 1, _PART):
         part = data[at : at + _PART + threshold - 1]
@@ -68,57 +71,68 @@ def segments(data: np.ndarray, threshold: int, anchor: int) -> Iterator[tuple[np
         first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
         count = np.diff(np.r_[first, len(place)])
         shape = ((place[first] - first) << 20 | count).astype(np.uint64)
-        content = mixed(prints.of(first, first + count + threshold - 1) + shape * np.uint64(0xD6E8FEB86659FD93))
-        yield first + at, count, hashes[place[first]] >> np.uint64(16), content >> np.uint64(16)
+        content = mixed(prints.of(first, first + count + threshold - 1) + shape * _MIX)
+        yield first + at, count, place[first] + at, hashes[place[first]], content
 
 
-_SEGMENT = ["a", "c", "_doc", "_nth", "lo", "n", "sure"]
-_SEGMENT_TYPE = "a long, c long, _doc long, _nth int, lo int, n int, sure boolean"
+#: a: name of the anchor. b: 32 bits of the content's name, the number of windows, whether it repeats for sure.
+#: at: _nth and first window. So a row is four numbers.
+_SEGMENT = "a long, b long, _doc long, at long"
+
+
+def _batch(schema: str, *columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [x.split()[0] for x in schema.split(", ")])
+
+
+def _bytes_of(text: pa.StringScalar) -> np.ndarray:
+    return np.frombuffer(text.as_buffer(), np.uint8) if text.is_valid and len(text.as_buffer()) else np.empty(0, np.uint8)
 
 
 def _segment_rows(docs: DataFrame, threshold: int, anchor: int) -> DataFrame:
-    """All segments. Of those with one content in a batch only the first needs sorting; the others are ``sure``
-    to repeat, which keeps frequent passages from meeting in one task."""
+    """All segments. Of those with one content in a batch only the first needs sorting; the others are sure to
+    repeat, which keeps frequent passages from meeting in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = []
             for doc, nth, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                data = np.frombuffer(text.as_buffer(), np.uint8) if text.is_valid and len(text.as_buffer()) else np.empty(0, np.uint8)
-                for lo, n, a, c in segments(data, threshold, anchor):
-                    parts.append((a.view(_INT), c.view(_INT), np.full(len(lo), doc, _INT), np.full(len(lo), nth, _INT), lo, n))
+                for lo, n, _, a, c in segments(_bytes_of(text), threshold, anchor):
+                    parts.append((a.view(_INT), ((c >> np.uint64(32) << np.uint64(32)) | (n << 1).astype(np.uint64)).view(_INT), np.full(len(lo), doc, _INT), (nth << 32) | lo))
             if not parts:
                 continue
-            a, c, doc, nth, lo, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((lo, nth, doc, c, a))
-            a, c, doc, nth, lo, n = (x[order] for x in (a, c, doc, nth, lo, n))
-            sure = np.r_[False, (a[1:] == a[:-1]) & (c[1:] == c[:-1])]
+            a, b, doc, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((at, doc, b, a))
+            a, b, doc, at = (x[order] for x in (a, b, doc, at))
+            sure = np.r_[False, (a[1:] == a[:-1]) & (b[1:] == b[:-1])]
             # where a row that is decided already goes does not matter
-            a = np.where(sure, (mixed((doc * 1_000_003 + lo).astype(np.uint64)) >> np.uint64(16)).view(_INT), a)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c), pa.array(doc), pa.array(nth.astype(np.int32)), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(sure)], _SEGMENT)
+            a = np.where(sure, mixed((doc * 1_000_003 + at).astype(np.uint64)).view(_INT), a)
+            yield _batch(_SEGMENT, a, b | sure, doc, at)
+
+    return docs.select("_doc", "_nth", F.col("text").cast("string").alias("text")).mapInArrow(run, _SEGMENT)
+
 
-    return docs.select("_doc", "_nth", F.col("text").cast("string").alias("text")).mapInArrow(run, _SEGMENT_TYPE)
+_DECIDED = "_doc long, at long, n int, open boolean"
 
 
 def _decide(rows: DataFrame) -> DataFrame:
-    """Sorted segments to (_doc, _nth, lo, n, open): those that repeat as a whole, and those still open."""
+    """Segments sorted by (a, b, _doc, at) to those that repeat as a whole and those that are still open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_a = last_c = None
+        last_a = last_b = None
         contents = 0  # of the last anchor so far, 2 for more
         waiting = None  # the first segment of the last anchor, while it has one content
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, c, doc, nth, lo, n = (batch.column(k).to_numpy() for k in range(6))
-            sure = batch.column(6).to_numpy(zero_copy_only=False)
-            out = [(doc[sure], nth[sure], lo[sure], n[sure], np.zeros(int(sure.sum()), bool))]
-            a, c, doc, nth, lo, n = (x[~sure] for x in (a, c, doc, nth, lo, n))
+            a, b, doc, at = (batch.column(k).to_numpy() for k in range(4))
+            sure = (b & 1) == 1
+            out = [(doc[sure], at[sure], b[sure], np.zeros(int(sure.sum()), bool))]
+            a, b, doc, at = (x[~sure] for x in (a, b, doc, at))
             if len(a):
                 new_a = np.r_[a[0] != last_a, a[1:] != a[:-1]]
-                new_c = new_a | np.r_[c[0] != last_c, c[1:] != c[:-1]]
+                new_b = new_a | np.r_[b[0] != last_b, b[1:] != b[:-1]]
                 group = np.cumsum(new_a) - new_a[0]
-                total = np.bincount(group, new_c)
+                total = np.bincount(group, new_b)
                 if new_a[0]:
                     waiting = None
                 else:
@@ -126,79 +140,142 @@ def _decide(rows: DataFrame) -> DataFrame:
                     if waiting is not None and total[0] >= 2:
                         out.append((*waiting, np.ones(1, bool)))
                         waiting = None
-                open_ = new_c & (total[group] >= 2)
-                chosen = open_ | ~new_c
-                out.append((doc[chosen], nth[chosen], lo[chosen], n[chosen], open_[chosen]))
+                open_ = new_b & (total[group] >= 2)
+                chosen = open_ | ~new_b
+                out.append((doc[chosen], at[chosen], b[chosen], open_[chosen]))
                 if total[-1] < 2:
                     firsts = np.flatnonzero(new_a)
                     if len(firsts):
                         k = slice(firsts[-1], firsts[-1] + 1)
-                        waiting = (doc[k], nth[k], lo[k], n[k])
-                last_a, last_c, contents = a[-1], c[-1], min(int(total[-1]), 2)
-            doc, nth, lo, n, open_ = (np.concatenate(x) for x in zip(*out, strict=True))
+                        waiting = (doc[k], at[k], b[k])
+                last_a, last_b, contents = a[-1], b[-1], min(int(total[-1]), 2)
+            doc, at, b, open_ = (np.concatenate(x) for x in zip(*out, strict=True))
             if len(doc):
-                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(nth.astype(np.int32)), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(open_)], ["_doc", "_nth", "lo", "n", "open"])
+                yield _batch(_DECIDED, doc, at, ((b & 0xFFFFFFFF) >> 1).astype(np.int32), open_)
 
-    return rows.mapInArrow(run, "_doc long, _nth int, lo int, n int, open boolean")
+    return rows.mapInArrow(run, _DECIDED)
 
 
-def _windows(joined: DataFrame, threshold: int) -> DataFrame:
-    """The undecided windows of (_doc, _nth, text, spans): position and the ranks of its two halves, each the name
-    of a pair of ranks at the offset of a quarter."""
-    quarter = threshold // 4
+_OPENED = "_doc long, at long, n int, offset int, content binary, before long, after long"
+
+
+def _opened(joined: DataFrame, threshold: int, anchor: int) -> DataFrame:
+    """The bytes of the open segments of (_doc, _nth, text, spans), with the offset of the anchor and the ranks of
+    its pairs with the bytes before and after it; null where no window of the segment holds such a pair."""
+    more = (threshold - anchor) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            out, contents = [], []
             for doc, nth, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
-                data = np.frombuffer(text.as_buffer(), np.uint8)
-                at = np.concatenate([np.arange(s["lo"], s["lo"] + s["n"]) for s in spans])
-                low = int(at.min())
-                prints = Fingerprints(data[low : int(at.max()) + threshold])
-                begin = at - low
-                edges = [begin, begin + quarter, begin + 2 * quarter, begin + 3 * quarter, begin + threshold]
-                rank = [prints.of(x, y) for x, y in zip(edges, edges[1:], strict=False)]
-                pair = [mixed(rank[k] * np.uint64(0xD6E8FEB86659FD93) + mixed(rank[k + 1] + np.uint64(1))) for k in (0, 2)]
-                out.append((np.full(len(at), doc, _INT), np.full(len(at), nth, np.int32), at.astype(np.int32), pair[0].view(_INT), pair[1].view(_INT)))
+                data = _bytes_of(text)
+                lo = np.sort(np.array([x["lo"] for x in spans]))
+                every, count, place = (np.concatenate(x) for x in list(zip(*segments(data, threshold, anchor), strict=True))[:3])
+                k = np.searchsorted(every, lo)
+                n, place = count[k], place[k]
+                prints, offset = Fingerprints(data), place - lo
+                before, after = offset >= more, offset - n + 1 < more
+                ranks = [
+                    mixed(prints.of(np.where(held, begin, 0), np.where(held, end, 0)) + np.uint64(side)).view(_INT)
+                    for held, begin, end, side in ((before, place - more, place + anchor, 1), (after, place, place + anchor + more, 2))
+                ]
+                out.append((np.full(len(lo), doc, _INT), (nth << 32) | lo, n.astype(np.int32), offset.astype(np.int32), ranks[0], ranks[1], ~before, ~after))
+                contents += [data[x:y].tobytes() for x, y in zip(lo.tolist(), (lo + n + threshold - 1).tolist(), strict=True)]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["_doc", "_nth", "pos", "rank", "rank_on"])
+                doc, at, n, offset, first, second, no_first, no_second = (np.concatenate(x) for x in zip(*out, strict=True))
+                columns = [pa.array(doc), pa.array(at), pa.array(n), pa.array(offset), pa.array(contents, pa.binary()), pa.array(first, mask=no_first), pa.array(second, mask=no_second)]
+                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _OPENED.split(", ")])
+
+    return joined.mapInArrow(run, _OPENED)
+
+
+_WINDOW = "rank long, rank_on int, _doc long, at long"
+
 
-    return joined.mapInArrow(run, "_doc long, _nth int, pos int, rank long, rank_on long")
+def _windows(rows: DataFrame, threshold: int, anchor: int) -> DataFrame:
+    """The undecided windows of (_doc, at, n, offset, content, before_again, after_again), each with the ranks of
+    its halves, which name pairs of ranks of quarters."""
+    more, quarter = (threshold - anchor) // 2, threshold // 4
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            doc, at, n, offset = (batch.column(k).to_numpy() for k in range(4))
+            contents = batch.column(4).to_pylist()
+            before, after = (batch.column(k).to_numpy(zero_copy_only=False) for k in (5, 6))
+            row = np.repeat(np.arange(len(n)), n)
+            begin = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            left = offset[row] - begin  # bytes of a window before its anchor
+            keep = np.where(left >= more, before[row], after[row])
+            row, begin = row[keep], begin[keep]
+            if not len(row):
+                continue
+            sizes = np.array([len(x) for x in contents])
+            table = np.zeros((len(n), int(sizes.max())), np.uint8)
+            table[np.arange(table.shape[1]) < sizes[:, None]] = np.frombuffer(b"".join(contents), np.uint8)
+            power, inverse = _powers_to(table.shape[1] + 1)
+            sums = np.zeros((len(n), table.shape[1] + 1), np.uint64)
+            np.cumsum((table.astype(np.uint64) + np.uint64(1)) * power[: table.shape[1]], axis=1, dtype=np.uint64, out=sums[:, 1:])
+            edges = [begin + k * quarter for k in range(5)]
+            rank = [mixed((sums[row, y] - sums[row, x]) * inverse[x]) for x, y in zip(edges, edges[1:], strict=False)]
+            pair = [mixed(rank[k] * _MIX + mixed(rank[k + 1] + np.uint64(1))) for k in (0, 2)]
+            yield _batch(_WINDOW, pair[0].view(_INT), (pair[1] >> np.uint64(32)).astype(np.uint32).view(np.int32), doc[row], at[row] + begin)
+
+    return rows.mapInArrow(run, _WINDOW)
 
 
 def _doubled(windows: DataFrame) -> DataFrame:
     """The windows that start earlier too. One sort of the rank pairs serves both rounds: a rank of half the
     threshold that no other position has is dropped, then pairs at that offset are ranked, first position first."""
-    half = Window.partitionBy("rank").orderBy("rank_on", "_doc", "_nth", "pos")
-    again = F.lag("pos").over(half).isNotNull() | F.lead("pos").over(half).isNotNull()
-    whole = Window.partitionBy("rank", "rank_on").orderBy("_doc", "_nth", "pos")
-    return windows.withColumn("again", again).where("again").withColumn("place", F.row_number().over(whole)).where("place > 1").select("_doc", "_nth", "pos")
+    half = Window.partitionBy("rank").orderBy("rank_on", "_doc", "at")
+    again = F.lag("at").over(half).isNotNull() | F.lead("at").over(half).isNotNull()
+    whole = Window.partitionBy("rank", "rank_on").orderBy("_doc", "at")
+    return windows.withColumn("again", again).where("again").withColumn("place", F.row_number().over(whole)).where("place > 1").select("_doc", "at")
+
+
+def _undecided(opened: DataFrame) -> DataFrame:
+    """The open segments of which a pair of the anchor's rank comes again; which of the two, in two flags."""
+    twice = opened.select(F.explode(F.array("before", "after")).alias("pair")).where("pair is not null").groupBy("pair").count().where("count > 1").select("pair")
+    flagged = opened
+    for name in ("before", "after"):
+        flagged = flagged.join(twice.select(F.col("pair").alias(name), F.lit(True).alias(f"{name}_again")), name, "left")
+    flags = [F.coalesce(f"{name}_again", F.lit(False)).alias(f"{name}_again") for name in ("before", "after")]
+    return flagged.select("_doc", "at", "n", "offset", "content", *flags).where("before_again or after_again")
 
 
-def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, anchor: int = ANCHOR) -> DataFrame:
-    """``docs`` with n_bytes, n_removed, n_spans (long) and kept (binary: the UTF-8 bytes left, in order).
+def _with_spans(named: DataFrame, spans: DataFrame) -> DataFrame:
+    """(_doc, _nth, text, spans) of the documents that have any."""
+    lists = spans.groupBy("_doc", "_nth").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
+    return named.select("_doc", "_nth", F.col("text").cast("string").alias("text")).join(lists, ["_doc", "_nth"]).select("_doc", "_nth", "text", "spans")
+
+
+def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, anchor: int = ANCHOR, as_text: bool = False) -> DataFrame:
+    """``docs`` with n_bytes, n_removed, n_spans (long) and kept (binary: the UTF-8 bytes left, in order; a string
+    if ``as_text``, without the halves of characters that a cut went through).
 
     Strings are judged on the input, in order of doc_id (null first, as the least number; rows with one doc_id by
     text) and place; overlaps count; matches never cross documents. A null text is empty. All rows and columns
-    stay, repeated rows too: the first keeps its bytes. ``threshold`` is a multiple of 4 and above ``anchor``. No
-    rows give no rows.
+    stay, repeated rows too: the first keeps its bytes. ``threshold`` is a multiple of 4 and above ``anchor`` by an
+    even number. No rows give no rows.
     """
-    if threshold % 4 or not 0 < anchor < threshold:
-        raise ValueError("threshold must be a multiple of 4 and above anchor")
+    if threshold % 4 or (threshold - anchor) % 2 or not 0 < anchor < threshold:
+        raise ValueError("threshold must be a multiple of 4, and above anchor by an even number")
     spark = docs.sparkSession
     named = with_nth(docs.drop("n_bytes", "n_removed", "n_spans", "kept"))
-    sorted_ = _segment_rows(named, threshold, anchor).repartition("a").sortWithinPartitions("a", "c", "_doc", "_nth", "lo")
-    decided = Saved(_decide(sorted_), "segments")
+    decided = Saved(_decide(_segment_rows(named, threshold, anchor).repartition("a").sortWithinPartitions("a", "b", "_doc", "at")), "segments")
+    release(spark)
+    nth, lo = F.shiftright("at", 32).cast("int").alias("_nth"), F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("lo")
+    opened = Saved(_opened(_with_spans(named, decided.df.where("open").select("_doc", nth, lo, "n")), threshold, anchor), "opened")
     release(spark)
-    spans = decided.df.where("open").groupBy("_doc", "_nth").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
-    joined = named.select("_doc", "_nth", F.col("text").cast("string").alias("text")).join(spans, ["_doc", "_nth"]).select("_doc", "_nth", "text", "spans")
-    windows = Saved(_doubled(_windows(joined, threshold)), "windows")
+    windows = Saved(_doubled(_windows(_undecided(opened.df), threshold, anchor)), "windows")
+    opened.drop()
     release(spark)
-    repeats = decided.df.where("not open").select("_doc", "_nth", "lo", "n").unionByName(windows.df.select("_doc", "_nth", F.col("pos").alias("lo"), F.lit(1).alias("n")))
+    repeats = decided.df.where("not open").select("_doc", nth, lo, "n").unionByName(windows.df.select("_doc", nth, lo, F.lit(1).alias("n")))
     repeats = repeats.groupBy("_doc", "_nth").agg(F.collect_list(F.struct("lo", "n")).alias("_repeats"))
     full = named.join(repeats, ["_doc", "_nth"], "left").select(*named.drop("_doc", "_nth").columns, "_repeats")
     keep = [c for c in full.columns if c != "_repeats"]
-    schema = full.select(*keep, F.lit(0).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.lit(b"").alias("kept")).schema
+    schema = full.select(*keep, F.lit(0).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.lit("" if as_text else b"").alias("kept")).schema
     text_at = keep.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +296,7 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, anchor: int = AN
                 removed.append(int(gone.sum()))
                 runs.append(int((gone & ~np.r_[False, gone[:-1]]).sum()))
                 kept.append(np.frombuffer(data, np.uint8)[~gone].tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(x, pa.int64()) for x in (sizes, removed, runs)), pa.array(kept, pa.binary())], [*keep, "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(x, pa.int64()) for x in (sizes, removed, runs)), pa.array([x.decode("utf-8", "ignore") for x in kept] if as_text else kept, pa.string() if as_text else pa.binary())], [*keep, "n_bytes", "n_removed", "n_spans", "kept"])
 
     return full.mapInArrow(cut, schema)
 
