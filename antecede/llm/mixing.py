@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Saved, documents
+from .common import Saved, documents, with_nth
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in code point order, repeating.
@@ -31,11 +31,11 @@ EXCHANGES = 5
 CELL_PARTS = 1024
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, key (of the source: ``n`` for null, else ``s`` and its name, in an order with null last), size, part."""
+def sized(docs: DataFrame, ids: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """ids, key (of the source: ``n`` for null, else ``s`` and its name, in an order with null last), size, part."""
     key = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("t"))
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select("doc_id", key.alias("key"), size.alias("size"), F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(CELL_PARTS)).cast("int").alias("part"))
+    return docs.select(*ids, key.alias("key"), size.alias("size"), F.pmod(F.xxhash64(F.lit("part"), *ids), F.lit(CELL_PARTS)).cast("int").alias("part"))
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MAX_COPIES) -> DataFrame:
@@ -119,15 +119,15 @@ def rounded(cells: DataFrame, tilts: DataFrame, most: int = MAX_COPIES) -> Saved
     return now
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MAX_COPIES) -> DataFrame:
-    """Copies of every row of ``docs(doc_id, text, source)``.
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MAX_COPIES, ids: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Copies of every row of ``docs(doc_id, text, source)``; ``ids`` are the columns that name a row.
 
     Result: doc_id, size, source_size, target, taken, copies. A null source is a source of its own, after the
     others. A null text or one without words has size 0 and no copies. Repeated rows count and are taken as rows
     of their own; equal rows share a cell and may get different copies. No rows: no rows. Other columns are not
     carried.
     """
-    base = Saved(sized(docs), "sized").df
+    base = Saved(sized(docs, ids), "sized").df
     parts = Saved(base.groupBy("key", "size", "part").agg(F.count("*").alias("in_part")), "parts").df
     cells = Saved(parts.groupBy("key", "size").agg(F.sum("in_part").alias("n")), "cells").df
     sources = cells.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least"))
@@ -142,24 +142,19 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MAX_C
         .join(given.select("key", "size", "n", "copies"), ["key", "size"], "left")
         .join(aimed.select("key", "source_size", "target"), "key")
     )
-    rank = F.row_number().over(Window.partitionBy("key", "size", "part").orderBy(F.xxhash64(F.lit("rank"), "doc_id"), "doc_id")) - 1
+    rank = F.row_number().over(Window.partitionBy("key", "size", "part").orderBy(F.xxhash64(F.lit("rank"), *ids), *ids)) - 1
     ranked = base.withColumn("rank", rank).join(per_part, ["key", "size", "part"])
     each = F.floor(F.col("copies") / F.col("n")) + F.when(F.col("first") + F.col("rank") < F.col("copies") % F.col("n"), 1).otherwise(0)
     copies = F.coalesce(each, F.lit(0)).cast("long")
-    return ranked.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+    return ranked.select(*ids, "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MAX_COPIES) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken, with its own columns. Rows that are not
-    taken go. Rows with the same doc_id share what they are taken together, the first of them first."""
-    counts = mix(docs, weights, most).where("copies > 0").groupBy("doc_id").agg(F.sum("copies").alias("_copies"))
-    columns = docs.columns
-    once = docs.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*columns)))).withColumn("_rows", F.lit(1))
-    rows = docs.groupBy("doc_id").agg(F.count("*").alias("_n"))
-    counted = counts.join(rows, counts["doc_id"].eqNullSafe(rows["doc_id"])).select(counts["doc_id"].alias("_id"), "_copies", "_n")
-    joined = once.join(counted, once["doc_id"].eqNullSafe(counted["_id"]))
-    mine = F.floor(F.col("_copies") / F.col("_n")) + F.when(F.col("_nth") <= F.col("_copies") % F.col("_n"), 1).otherwise(0)
-    return joined.where(mine > 0).withColumn("_again", F.explode(F.sequence(F.lit(1).cast("long"), mine.cast("long")))).select(*columns)
+    """The mix itself: each row of ``docs`` as often as it is taken, with its own columns."""
+    named = with_nth(docs)
+    counts = mix(named, weights, most, ("_doc", "_nth")).where("copies > 0").select("_doc", "_nth", "copies")
+    repeated = named.join(counts, ["_doc", "_nth"]).withColumn("_again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return repeated.select(*docs.columns)
 
 
 def op2_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:

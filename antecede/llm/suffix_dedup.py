@@ -239,7 +239,10 @@ def _undecided(opened: DataFrame) -> DataFrame:
     twice = opened.select(F.explode(F.array("before", "after")).alias("pair")).where("pair is not null").groupBy("pair").count().where("count > 1").select("pair")
     flagged = opened
     for name in ("before", "after"):
-        flagged = flagged.join(twice.select(F.col("pair").alias(name), F.lit(True).alias(f"{name}_again")), name, "left")
+        # rows without that pair are dealt out evenly, to keys that match nothing
+        key = F.coalesce(name, F.xxhash64(F.lit("none"), "_doc", "at"))
+        found = twice.select(F.col("pair").alias("_key"), F.lit(True).alias("_again"))
+        flagged = flagged.withColumn("_key", key).join(found, "_key", "left").withColumn(f"{name}_again", F.col("_again") & F.col(name).isNotNull()).drop("_key", "_again")
     flags = [F.coalesce(f"{name}_again", F.lit(False)).alias(f"{name}_again") for name in ("before", "after")]
     return flagged.select("_doc", "at", "n", "offset", "content", *flags).where("before_again or after_again")
 
