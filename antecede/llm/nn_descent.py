@@ -25,7 +25,7 @@ from .common import Saved, release
 
 NEAREST = 10
 #: Links of a node; most rounds; share of links that still change when it ends; most proposals to a node from one place.
-LINKS = 24
+LINKS = 40
 ROUNDS = 8
 SETTLED = 0.01
 PROPOSALS = 8
@@ -34,7 +34,7 @@ PLANES = 3
 BUCKET = 48
 #: Nodes a search starts from (bounds what is broadcast), nodes it keeps, links it follows in one step.
 PIVOTS = 1024
-BEAM = 128
+BEAM = 160
 STEP = 16
 _SEED = 7
 
