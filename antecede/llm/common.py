@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,3 +109,17 @@ def with_nth(docs: DataFrame) -> DataFrame:
     if named.groupBy("_doc").count().where("count > 1").isEmpty():
         return named.withColumn("_nth", F.lit(0))
     return named.withColumn("_nth", F.row_number().over(Window.partitionBy("_doc").orderBy("text")) - 1)
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20):
+    """A batch in parts whose texts in ``column`` have about ``most`` bytes (one longer text is a part alone), so
+    that what is derived from a part stays small."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
+    begin, held = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > begin and held + n > most:
+            yield batch.slice(begin, i - begin)
+            begin, held = i, 0
+        held += n
+    if begin < len(sizes):
+        yield batch.slice(begin)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Saved, documents, release, with_nth
+from .common import Saved, documents, release, slices, with_nth
 from .shingles import _powers_to, mixed
 
 THRESHOLD = 100
@@ -93,7 +93,7 @@ def _segment_rows(docs: DataFrame, threshold: int, anchor: int) -> DataFrame:
     repeat, which keeps frequent passages from meeting in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2)):
             parts = []
             for doc, nth, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 for lo, n, _, a, c in segments(_bytes_of(text), threshold, anchor):
@@ -165,7 +165,7 @@ def _opened(joined: DataFrame, threshold: int, anchor: int) -> DataFrame:
     more = (threshold - anchor) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2)):
             out, contents = [], []
             for doc, nth, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
                 data = _bytes_of(text)
@@ -282,7 +282,7 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, anchor: int = AN
     text_at = keep.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, text_at)):
             sizes, removed, runs, kept = [], [], [], []
             for text, repeats in zip(batch.column(text_at).to_pylist(), batch.column(len(keep)).to_pylist(), strict=True):
                 data = (text or "").encode("utf-8", "surrogatepass")
