@@ -20,16 +20,26 @@ _SPLIT = {
     "word": re.compile(rf"'(?:[stmd]|re|ve|ll)|[{_LETTER}]+|[0-9]|[^\s{_LETTER}0-9]+"),
 }
 #: Pieces cached in one worker before the cache starts anew; bounds its memory.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 400_000
+
+
+def _byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in both vocabularies: a printable one for itself, then the rest in
+    order from U+0100."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(0x100 + i) for i, b in enumerate(others)}
 
 
 class _Pieces(dict):
-    def __init__(self, tokenizer, dtype):
+    def __init__(self, model, dtype):
         super().__init__()
-        self.tokenizer, self.dtype = tokenizer, dtype
+        self.model, self.dtype, self.characters = model, dtype, _byte_characters()
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        # a piece is normalized and split already, so its bytes go to the merges as they are
+        merged = self.model.tokenize(piece.encode().decode("latin-1").translate(self.characters))
+        ids = [token.id for token in merged]
         if len(self) >= CACHE_PIECES:
             self.clear()
         found = np.asarray(ids, self.dtype).tobytes()
@@ -52,7 +62,7 @@ class Encoder:
         self.split = _SPLIT["word" if self.lower else "byte"]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
-        self.pieces = _Pieces(self.tokenizer, self.dtype)
+        self.pieces = _Pieces(self.tokenizer.model, self.dtype)
 
     @classmethod
     def load(cls, path: str) -> Encoder:
