@@ -10,6 +10,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schema import COLUMNS, DATA, EVENTS, GENESIS, GENESIS_ID, HISTORY, NOOP
 
@@ -19,11 +20,11 @@ def canonical_json(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical(text: pd.Series) -> pd.Series:
     """Canonical form of JSON texts as they come from outside. Spark's own writer rewrites numbers, which would
     change hashes, so only this step of the readers leaves the JVM."""
-    return text.map(lambda t: None if t is None else canonical_json(json.loads(t)))
+    return pd.Series([canonical_json(json.loads(t)) if isinstance(t, str) else None for t in text], dtype=object)
 
 
 def data_payload(kind: Column, value_json: Column) -> Column:
