@@ -39,8 +39,9 @@ def parse_lines(lines: DataFrame, strict: bool = True, history: Column | str = "
     parsed = lines.where(F.trim("value") != "").withColumn("v", F.try_parse_json("value"))
     payload = F.try_variant_get("v", "$.payload", "variant")
     kind = F.try_variant_get("v", "$.payload.Data.kind", "string")
-    text = F.regexp_extract("value", r'(?s)"payload"\s*:\s*(.*)\}\s*$', 1)
-    raw = F.when(F.endswith("value", F.lit("}")) & F.try_parse_json(text).isNotNull(), text).otherwise(F.to_json(payload))
+    # lines of to_lines keep the payload's own bytes; from other writers it is what the parser makes of it
+    text = F.regexp_extract("value", r'(?s)^\{"id":"[^"]*","parents":\[[^\]]*\],"payload":(.*)\}$', 1)
+    raw = F.when(text != "", text).otherwise(F.to_json(payload))
     tag = F.when(kind.isNotNull(), F.lit("Data")).otherwise(F.try_variant_get(payload, "$", "string"))
     rows = parsed.select(
         name.alias(HISTORY), F.try_variant_get("v", "$.id", "string").alias("id"), tag.alias("tag"), kind.alias("kind"),
