@@ -155,7 +155,7 @@ def neighbour_graph(coded: DataFrame, count: int, links: int = LINKS, rounds: in
         before, graph = graph, Saved(_nearest(before_marked(graph.df).unionByName(tried), links), "graph")
         before.drop()
         release(coded.sparkSession)
-        if graph.df.agg(F.sum("new")).first()[0] <= SETTLED * links * count:
+        if (graph.df.agg(F.sum("new")).first()[0] or 0) <= SETTLED * links * count:
             break
     return graph
 
