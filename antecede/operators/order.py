@@ -46,21 +46,19 @@ def level_depth(events: DataFrame) -> DataFrame:
     Each round touches only the links out of the level before."""
     links = Step(edges(events), "edges").df
     need = Step(events.select(*KEY, F.size("parents").cast("long").alias("need")), "need").df
-    level = Step(need.where("need = 0").select(*KEY, F.lit(0).cast("long").alias("depth")), "level")
-    found, open_, depth = level.df, None, 0
-    while not level.df.isEmpty():
+    level = need.where("need = 0").select(*KEY, F.lit(0).cast("long").alias("depth"))
+    found, waiting, depth = level, None, 0
+    while not level.isEmpty():
         depth += 1
-        freed = links.join(level.df.select(HISTORY, F.col("id").alias("parent")), [HISTORY, "parent"]).groupBy(HISTORY, F.col("child").alias("id")).agg(F.count("*").alias("have"))
-        more = freed.join(need, KEY).select(*KEY, "need", "have")
-        if open_ is not None:
-            more = more.unionByName(open_.df).groupBy(*KEY, "need").agg(F.sum("have").alias("have"))
-        state = Step(more, "open")
-        level = Step(state.df.where("have = need").select(*KEY, F.lit(depth).cast("long").alias("depth")), "level")
-        if open_ is not None:
-            open_.drop()
-        open_ = Step(state.df.where("have < need"), "open")
-        state.drop()
-        found = found.unionByName(level.df)
+        freed = links.join(level.select(HISTORY, F.col("id").alias("parent")), [HISTORY, "parent"]).groupBy(HISTORY, F.col("child").alias("id")).agg(F.count("*").alias("have"))
+        if waiting is None:
+            more = freed.join(need, KEY).select(*KEY, "need", "have")
+        else:
+            more = freed.unionByName(waiting.select(*KEY, "have")).groupBy(*KEY).agg(F.sum("have").alias("have")).join(need, KEY).select(*KEY, "need", "have")
+        state = Step(more, "open").df
+        level = state.where("have = need").select(*KEY, F.lit(depth).cast("long").alias("depth"))
+        waiting = state.where("have < need")
+        found = found.unionByName(level)
     return found
 
 
