@@ -6,8 +6,10 @@ id = sha256hex( sha256hex(payload_json) + sha256hex(sorted parent ids, concatena
 from __future__ import annotations
 
 import json
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +17,10 @@ from pyspark.sql import types as T
 from ..schema import COLUMNS, DATA, EVENTS, GENESIS, GENESIS_ID, HISTORY, NOOP
 
 
+# what runs in Python workers travels with its code, so workers need not find this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def canonical_json(value) -> str:
     """Compact, keys sorted, non-ASCII as it is."""
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)

@@ -88,5 +88,13 @@ def messages(kind: str, rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct(F.lit(kind).alias("type"), F.struct("id", "payload_json", "parents").alias("event"))).alias("line"))
 
 
+def parse_messages(lines: DataFrame) -> DataFrame:
+    """Back from JSON lines: type, id (of ids or of the event), payload_json, parents. Other types have no rows."""
+    m = F.from_json("line", "type string, ids array<string>, event struct<id string, payload_json string, parents array<string>>")
+    read = lines.select(m.alias("m"))
+    ids = read.where("m.type IN ('have', 'want')").select("m.type", F.explode("m.ids").alias("id"), F.lit(None).cast("string").alias("payload_json"), F.lit(None).cast("array<string>").alias("parents"))
+    return ids.unionByName(read.where("m.event IS NOT NULL").select("m.type", "m.event.id", "m.event.payload_json", "m.event.parents"))
+
+
 def with_config(config: ReduceConfig, **changes) -> ReduceConfig:
     return replace(config, **changes)

@@ -16,6 +16,7 @@ from .sources import builders as B
 from .sources.snapshot import recover, write_snapshot
 from .sources.wal import FileStore, to_lines
 from .streaming.ingest import HistoryTable, read_log
+from .streaming.stateful import PROVIDER, stream_depth
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -359,6 +360,23 @@ def stream_kv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.state("key_value").select("key", "val")
 
 
+@query(f"WITH {_U} SELECT history_id, {_p('i')} AS id, seq - 1 AS depth FROM u")
+def stream_chain_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The users' chains as a stream of two files, later halves first: each event gets its depth once its past is there."""
+    chains, path, out = B.user_chains(spark, sf_dir), new_path(spark, "stream-in"), new_path(spark, "stream-out")
+    for part in (0, 1):
+        chains.where(F.pmod(F.col("i"), F.lit(2)) != part).select(HISTORY, "id", "parents").coalesce(1).write.mode("append").parquet(path)
+    before = spark.conf.get(PROVIDER[0])
+    spark.conf.set(*PROVIDER)
+    try:
+        stream = spark.readStream.schema("history_id string, id string, parents array<string>").option("maxFilesPerTrigger", 1).parquet(path)
+        sink = stream_depth(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-offsets").trigger(availableNow=True).start()
+        sink.awaitTermination()
+    finally:
+        spark.conf.set(PROVIDER[0], before)
+    return spark.read.parquet(out)
+
+
 # --- the shapes of the benchmark ----------------------------------------------------------------------------
 
 

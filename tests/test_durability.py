@@ -127,3 +127,32 @@ def test_sql_views_and_functions(spark):
 def test_numbered(spark):
     df = spark.range(1000).select(F.col("id"), (F.col("id") * 7919 % 1000).alias("x"))
     assert [r["x"] for r in numbered(df, "x").orderBy("pos").collect()] == list(range(1000))
+
+
+def test_messages(spark):
+    from antecede.operators.replicate import messages, parse_messages
+
+    events = frame(spark, chain(3))
+    assert sorted(r["id"] for r in parse_messages(messages("have", events)).collect()) == sorted(r["id"] for r in events.collect())
+    back = parse_messages(messages("events", events)).select("id", "payload_json", "parents")
+    assert back.exceptAll(events.select("id", "payload_json", "parents")).isEmpty()
+
+
+def test_stream_depth_waits_for_parents(spark):
+    from antecede.streaming.stateful import PROVIDER, stream_depth
+    from tests.test_histories import model_depth, random_dag
+
+    from antecede.schema import EVENTS
+
+    rows, path = random_dag(11), new_path(spark, "in")
+    for part in (rows[1::2], rows[::2], rows[:10]):
+        spark.createDataFrame(part, EVENTS).select("history_id", "id", "parents").coalesce(1).write.mode("append").parquet(path)
+    before = spark.conf.get(PROVIDER[0])
+    spark.conf.set(*PROVIDER)
+    try:
+        stream = spark.readStream.schema("history_id string, id string, parents array<string>").option("maxFilesPerTrigger", 1).parquet(path)
+        stream_depth(stream).writeStream.format("memory").queryName("depths").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(PROVIDER[0], before)
+    got = [(r["history_id"], r["id"], r["depth"]) for r in spark.table("depths").collect()]
+    assert len(got) == len(set(got)) and {(h, i): d for h, i, d in got} == model_depth(rows)
