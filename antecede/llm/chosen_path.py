@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shingles as S
-from .common import Saved, documents
+from .common import Saved, documents, release
 from .components import components
 
 SIMILARITY = 0.8
@@ -256,6 +256,7 @@ def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, target: float
     base = Saved(sketched(docs, words), "sketched")
     sets = Saved(base.df.where("node is not null").groupBy("node").agg(F.first("sketch").alias("sketch"), F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "sets")
     candidates = candidate_components(sets.df.select("node", "sketch"), similarity, target)
+    release(docs.sparkSession)
     members = candidates.df.join(sets.df.select("node", "rep", "copies"), "node")
 
     def reshingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,26 +268,27 @@ def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, target: float
 
     texts = docs.select(F.col("doc_id").alias("rep"), F.col("text").cast("string").alias("text"))
     full = texts.join(members.select("rep", "node"), texts["rep"].eqNullSafe(members["rep"])).select("node", "text").mapInArrow(reshingle, "node binary, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    full = Saved(full, "shingles")
+    release(docs.sparkSession)
     sizes = candidates.df.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     paired = dealt.select("component", "node", "copies", "block", other.alias("other")).select(
         "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block", "copies"
     )
-    rows = paired.join(full, "node").select("component", "i", "j", "node", "block", "copies", "shingles")
+    rows = paired.join(full.df, "node").select("component", "i", "j", "node", "block", "copies", "shingles")
     found = Saved(_exact(rows.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j"), similarity), "exact")
+    full.drop()
+    release(docs.sparkSession)
     links = found.df.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     classes = components(found.df.where("b is not null").select("a", "b"), "classes")
     least = classes.df.join(sets.df.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("class_id"))
     known = sets.df.select("node", "rep", "copies").join(classes.df.join(least, "component").select("node", "class_id"), "node", "left").join(links, "node", "left")
     known = known.select("node", F.coalesce("class_id", "rep").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
-    alone = F.col("node").isNull()
-    return base.df.select("doc_id", "node").join(known, "node", "left").select(
-        "doc_id",
-        F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.when(alone, F.lit(0)).otherwise(F.col("links") + F.col("copies") - 1).cast("long").alias("n_links"),
-        F.when(alone, F.lit(1)).otherwise(F.col("copies")).cast("long").alias("n_copies"),
-    )
+    joined = base.df.where("node is not null").select("doc_id", "node").join(known, "node")
+    linked = joined.select("doc_id", "class_id", (F.col("links") + F.col("copies") - 1).cast("long").alias("n_links"), F.col("copies").cast("long").alias("n_copies"))
+    alone = base.df.where("node is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
+    return linked.unionByName(alone)
 
 
 def op9_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
