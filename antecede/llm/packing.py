@@ -23,8 +23,9 @@ from .common import documents, save
 CAPACITY = 1024
 #: Pieces in a group that one task packs. More pieces make more groups, never larger ones.
 GROUP_PIECES = 40_000
-#: Exchanges that the local search of one group may make.
+#: Exchanges that the local search of one group may make, and bins one after another without any that end it.
 MAX_STEPS = 20_000
+MAX_FAILURES = 64
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> np.ndarray:
@@ -55,9 +56,9 @@ def local_search(lengths: np.ndarray, where: np.ndarray, capacity: int, max_step
     open_ = np.flatnonzero(fill[where] < capacity)  # pieces in bins with room
     if not len(open_):
         return where
-    size, steps, tired = lengths[open_].astype(np.int64), 0, set()
+    size, steps, tired, failures = lengths[open_].astype(np.int64), 0, set(), 0
     at = where[open_].copy()
-    while steps < max_steps:
+    while steps < max_steps and failures < MAX_FAILURES:
         live = np.unique(at)
         live = live[(fill[live] > 0) & (fill[live] < capacity)]
         live = live[np.argsort(fill[live], kind="stable")]
@@ -103,6 +104,7 @@ def local_search(lengths: np.ndarray, where: np.ndarray, capacity: int, max_step
                 at[p], at[q], at[r], moved = b, low, low, True
                 break
         steps += 1
+        failures = 0 if moved else failures + 1
         if moved:
             tired.discard(low)
         else:
