@@ -206,7 +206,8 @@ def test_rebalancing_keeps_most_slots():
     sizes = [sum(loads[s][1] for s in range(4096) if first[s] == k) for k in range(24)]
     assert max(sizes) - min(sizes) < 1000
     fewer = sharding.rebalanced(first, loads, 20)
-    assert max(fewer) < 20 and all(a == b for a, b in zip(first, fewer, strict=True) if a < 20 and b != a) or True
+    moved = sum(a != b for a, b in zip(first, fewer, strict=True))
+    assert max(fewer) < 20 and moved <= sum(a >= 20 for a in first) + 200
     grown = [(r, n * (5 if first[i] == 3 else 1)) for i, (r, n) in enumerate(loads)]
     edited = sharding.rebalanced(first, grown, 24)
     assert sum(a != b for a, b in zip(first, edited, strict=True)) < 1200
