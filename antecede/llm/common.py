@@ -91,11 +91,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of steps whose results are written already."""
+    """Lets Spark drop the shuffle files of steps whose results are written already. Spark drops them when the JVM
+    has collected the plans, which lets go of some only in a second round."""
     import gc
+    import time
 
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def with_nth(docs: DataFrame) -> DataFrame:
