@@ -173,6 +173,16 @@ def ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dag.ancestors(events, events.where(F.col("id").cast("long") % 997 == 5).select(*KEY)).select("id", "ancestor")
 
 
+_ALL_UP = f"{_G}, up(i, p) AS (SELECT i, p FROM g UNION SELECT up.i, g.p FROM up JOIN g ON g.i = up.p)"
+
+
+@query(f"WITH RECURSIVE {_ALL_UP} SELECT {_p('i')} AS id, {_p('p')} AS ancestor FROM up")
+def ancestors_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ancestors of every event; ``ancestors`` asks for a few."""
+    events = B.two_parents(spark, sf_dir)
+    return dag.ancestors(events, events.select(*KEY)).select("id", "ancestor")
+
+
 def _pairs(events: DataFrame) -> DataFrame:
     """Each event with an id that 211 divides, and the one 10 times nearer to the root."""
     some = events.where((F.col("id").cast("long") % 211 == 0) & (F.col("id").cast("long") > 0))

@@ -32,6 +32,24 @@ def test_same_rows_as_sql(spark, duck, name):
     assert sorted(map(repr, (tuple(r) for r in got.select(*columns).collect()))) == sorted(map(repr, want))
 
 
+def two_parents(duck):
+    """What is above each event, by walking."""
+    ids = [r[0] for r in duck.sql("SELECT event_id FROM events ORDER BY event_id").fetchall()]
+    up = {}
+    for i in ids:  # parents have smaller ids
+        parents = {(i - 1) // 4, (i - 1) // 3} if i else set()
+        up[i] = parents.union(*(up[p] for p in parents))
+    return up
+
+
+def test_ancestors_of_every_event(spark, duck):
+    up = two_parents(duck)
+    want = {(f"{i:012d}", f"{p:012d}") for i, above in up.items() for p in above}
+    got = [tuple(r) for r in entry.queries()["ancestors_all"](spark, SF).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert sorted(got) == sorted(duck.sql(entry.oracle_sql()["ancestors_all"]).fetchall())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
