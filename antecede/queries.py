@@ -205,6 +205,29 @@ def concurrent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dag.are_concurrent(events, _pairs(events)).select("a", "b", "concurrent")
 
 
+def _all_pairs(events: DataFrame) -> DataFrame:
+    """Each event but the first, and the one 10 times nearer to the root."""
+    some = events.where(F.col("id").cast("long") > 0)
+    return some.select(HISTORY, B.pad(F.expr("CAST(id AS BIGINT) div 10")).alias("a"), F.col("id").alias("b"))
+
+
+_ALL_PAIRS = "pr AS (SELECT DISTINCT i // 10 AS a, i AS b FROM g)"
+
+
+@query(f"WITH RECURSIVE {_ALL_UP}, {_ALL_PAIRS} SELECT {_p('a')} AS a, {_p('b')} AS b, (b, a) IN (SELECT (i, p) FROM up) AS precedes FROM pr")
+def precedes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pair of every event; ``precedes`` judges a few."""
+    events = B.two_parents(spark, sf_dir)
+    return dag.causally_precedes(events, _all_pairs(events)).select("a", "b", "precedes")
+
+
+@query(f"WITH RECURSIVE {_ALL_UP}, {_ALL_PAIRS} SELECT {_p('a')} AS a, {_p('b')} AS b, a <> b AND NOT ((b, a) IN (SELECT (i, p) FROM up) OR (a, b) IN (SELECT (i, p) FROM up)) AS concurrent FROM pr")
+def concurrent_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pair of every event; ``concurrent`` judges a few."""
+    events = B.two_parents(spark, sf_dir)
+    return dag.are_concurrent(events, _all_pairs(events)).select("a", "b", "concurrent")
+
+
 # --- reduction ----------------------------------------------------------------------------------------------
 
 _UC3 = f"""{_U}, c3 AS (SELECT *, last_value(CASE WHEN t <> 'error' THEN i END IGNORE NULLS) OVER (PARTITION BY history_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM u)"""

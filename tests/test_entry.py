@@ -50,6 +50,14 @@ def test_ancestors_of_every_event(spark, duck):
     assert sorted(got) == sorted(duck.sql(entry.oracle_sql()["ancestors_all"]).fetchall())
 
 
+def test_pairs_of_every_event(spark, duck):
+    up = two_parents(duck)
+    for name, judge in (("precedes_all", lambda a, b: a in up[b]), ("concurrent_all", lambda a, b: a != b and a not in up[b] and b not in up[a])):
+        want = sorted((f"{i // 10:012d}", f"{i:012d}", judge(i // 10, i)) for i in up if i > 0)
+        assert sorted(tuple(r) for r in entry.queries()[name](spark, SF).collect()) == want
+        assert sorted(duck.sql(entry.oracle_sql()[name]).fetchall()) == want
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
