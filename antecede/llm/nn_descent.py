@@ -3,8 +3,8 @@
 Equal vectors are one node. The graph starts from buckets of random hyperplanes; then, in each round, every node
 brings together its neighbours and those it is a neighbour of, and they try each other: a Spark join of neighbours
 of neighbours, in which only pairs with a new link are compared and only improvements are written. A search is
-greedy: from the best of a fixed number of pivots, it follows the links of the nearest nodes not yet followed,
-for all queries at once, one Spark join for each step, until the beam of a query has none left.
+greedy: from the query's own node and the best of a fixed number of pivots, it follows the links of the nearest
+nodes not yet followed, for all queries at once, one Spark join for each step, until the beam of a query has none left.
 
 Graph and search use vectors of 8 bits a component with a scale for each; the nodes in the final beam are measured
 on the original vectors in double precision.
@@ -206,7 +206,8 @@ def _states(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def greedy_search(queries: DataFrame, graph: DataFrame, codes: DataFrame, beam: int = BEAM, step: int = STEP, links: int = LINKS) -> Saved:
-    """(query_id, node): the beam in which the search of each of ``queries(query_id, code)`` ends."""
+    """(query_id, node): the beam in which the search of each of ``queries(query_id, node, code)`` ends. The own node
+    is where a search starts, so its links are followed first, wherever the pivots lie."""
     spark = queries.sparkSession
     back = graph.withColumn("k", F.row_number().over(Window.partitionBy("nbr").orderBy("dist", "node"))).where(F.col("k") <= links)
     both = graph.select("node", "nbr").unionByName(back.select(F.col("nbr").alias("node"), F.col("node").alias("nbr"))).distinct()
@@ -220,15 +221,17 @@ def greedy_search(queries: DataFrame, graph: DataFrame, codes: DataFrame, beam:
         pivots, ids = decoded(pivot_codes), np.array(pivot_ids, np.int64)
         for batch in batches:
             rows = []
-            for query, code in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for query, node, code in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 far = _squares(decoded([code]), pivots)[0]
-                order = np.lexsort((ids, far))[:beam]
-                done = np.zeros(len(order), bool)
+                order = np.lexsort((ids, far))
+                order = order[ids[order] != node][: beam - 1]
+                starts, dists = np.r_[node, ids[order]], np.r_[np.float32(0), far[order]]
+                done = np.zeros(len(starts), bool)
                 done[:step] = True
-                rows.append((query, code, ids[order].tolist(), far[order].tolist(), done.tolist(), ids[order][:step].tolist()))
+                rows.append((query, code, starts.tolist(), dists.tolist(), done.tolist(), starts[:step].tolist()))
             yield _states(rows)
 
-    state = Saved(queries.select("query_id", "code").mapInArrow(begin, "query_id long, code binary, ids array<bigint>, dists array<float>, done array<boolean>, ask array<bigint>"), "search")
+    state = Saved(queries.select("query_id", "node", "code").mapInArrow(begin, "query_id long, code binary, ids array<bigint>, dists array<float>, done array<boolean>, ask array<bigint>"), "search")
     nothing = [F.lit(None).cast("array<bigint>").alias("nbrs"), F.lit(None).cast("array<binary>").alias("codes")]
     while not (asked := state.df.where(F.size("ask") > 0)).isEmpty():
         found = asked.select("query_id", F.explode("ask").alias("node")).join(near.df, "node")
@@ -263,7 +266,7 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, nearest: int = NEAR
     graph = neighbour_graph(coded.df, count, links)
     asked = rows.df.where(is_query).select(F.col("vec_id").alias("query_id"), "v")
     wanted = Saved(asked.join(nodes.df.select("node", "v"), "v").select("query_id", "node"), "queries")
-    queries = wanted.df.join(coded.df.select("node", "code"), "node").select("query_id", "code")
+    queries = wanted.df.join(coded.df.select("node", "code"), "node").select("query_id", "node", "code")
     beams = greedy_search(queries, graph.df, coded.df.select("node", "code"), max(beam, nearest + 1), links=links)
     near = nodes.df.select("node", "v")
     measured = (

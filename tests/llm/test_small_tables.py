@@ -264,6 +264,18 @@ def test_nearest_neighbours(spark):
     assert nn_descent.nearest_neighbours(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_neighbours_in_groups_without_a_pivot(spark, monkeypatch):
+    monkeypatch.setattr(nn_descent, "PIVOTS", 8)  # as few for 40 groups as 1024 are for 5,000
+    rng = np.random.default_rng(5)
+    v = np.repeat(rng.standard_normal((40, 16)), 50, axis=0) + 1e-2 * rng.standard_normal((2000, 16))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(set)
+    for r in nn_descent.nearest_neighbours(df, F.col("vec_id") % 25 == 0).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hits = sum(len(got[k] & {int(j) for j in np.argsort(((v - v[k]) ** 2).sum(axis=1))[1:11]}) for k in range(0, 2000, 25))
+    assert hits >= 0.95 * 10 * 80, hits
+
+
 def test_urls(spark):
     rows = [
         (1, "HTTP://A.Example.ORG/es/x?q"), (2, "https://example.org/en/12"), (3, "http://notexample.org/en/1"), (4, "http://org"), (5, "http://org/"), (6, "http://x.com/fr/"), (7, "http://X.com/de/#"),
