@@ -46,6 +46,17 @@ def test_stages(spark):
     check_bins([(r["sequence_id"], r["offset"], r["length"]) for r in packed])
 
 
+def test_texts_that_share_a_doc_id_or_have_none(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    say = lambda *k: " ".join(f"w{i}" for r in k for i in range(r, r + 40))
+    rows = [(None, say(0)), (None, say(100)), (None, say(100)), (7, say(200)), (7, say(300)), (3, say(200)), (None, say(300)), (8, ""), (8, ""), (None, None)]
+    df = spark.createDataFrame([{"doc_id": i, "text": t} for i, t in rows], docs.schema)
+    left = P.STAGES[1][1](spark, df, SF)
+    assert left.columns == docs.columns
+    want = [(None, say(0)), (None, say(100)), (7, say(300)), (3, say(200)), (8, ""), (8, ""), (None, None)]
+    assert collections.Counter((r["doc_id"], r["text"]) for r in left.collect()) == collections.Counter(want)
+
+
 def test_run(spark):
     assert P.run(spark, SF).count() > 0
     assert [n for n, _ in P.STAGES] == ["language ID", "n-gram Jaccard join", "suffix-array dedup", "mixing", "best-fit packing"]
