@@ -8,17 +8,25 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Spark then removes the shuffle files of a statement when the statement ends, not when the JVM collects its plan.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_written: dict[str, set[str]] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where it is unset (a single machine) a new folder, set for the session."""
+    """``spark.checkpoint.dir``. Only a local master, as in tests, gets a new folder where that is unset; on a
+    cluster each machine would write to its own disk, so there it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="antecede-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that no earlier call returned."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
@@ -28,16 +36,37 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 class Step:
-    """A table written and read back: its lineage ends in files that survive the loss of any executor."""
+    """A table written and read back: its lineage ends in files that survive the loss of any executor, and the
+    shuffle files behind it go when it is written."""
 
-    def __init__(self, df: DataFrame, name: str):
+    def __init__(self, df: DataFrame, name: str, partition_by: tuple[str, ...] = ()):
         self.spark = df.sparkSession
         self.path = new_path(self.spark, name)
-        df.write.parquet(self.path)
+        write(df, self.path, partition_by)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        _written.setdefault(self.spark.sparkContext.applicationId, set()).add(self.path)
 
     def drop(self) -> None:
         delete(self.spark, self.path)
+        _written.get(self.spark.sparkContext.applicationId, set()).discard(self.path)
+
+
+def write(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
+    """Writes Parquet and drops the shuffle files that it took."""
+    spark = df.sparkSession
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path, partitionBy=list(partition_by) or None)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes every table that steps of this session wrote and still hold. For when all results have been read:
+    a DataFrame that an operator returned may still read them."""
+    for path in _written.pop(spark.sparkContext.applicationId, set()):
+        delete(spark, path)
 
 
 def numbered(df: DataFrame, *order: str, name: str = "pos") -> DataFrame:
