@@ -3,61 +3,26 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..plans.steps import Step, delete, new_path, shared_dir, sweep
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
-
-    Only where that setting is absent (single-machine tests) a new folder is made and set for the session.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="antecede-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no earlier call returned."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+__all__ = ["DOC", "NTH", "ROW", "Saved", "delete", "documents", "new_path", "save", "shared_dir", "ship", "slices", "sweep", "unsigned_crc32", "with_nth"]
 
 
-class Saved:
+class Saved(Step):
     """A table written to the shared folder and read back, so that its lineage ends there."""
 
-    def __init__(self, df: DataFrame, name: str):
-        self.spark = df.sparkSession
-        self.path = new_path(self.spark, name)
-        df.write.parquet(self.path)
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
-
-    def drop(self) -> None:
-        delete(self.spark, self.path)
-
 
 def save(df: DataFrame, name: str) -> DataFrame:
     return Saved(df, name).df
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def parallelism(spark: SparkSession) -> int:
-    """Partitions for work that is dealt out anew; follows the session's own setting."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-
-
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return df.select(*columns) if columns else df
@@ -90,35 +55,39 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of steps whose results are written already. Spark drops them when the JVM
-    has collected the plans, which lets go of some only in a second round."""
-    import gc
-    import time
-
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.3)
+ROW, DOC, NTH = "row", "_doc", "_nth"
+#: Parts, by hash of all columns, in which rows of one doc_id are numbered, and shares of equal rows in each.
+_PARTS, _SHARES = 1024, 32
 
 
 def with_nth(docs: DataFrame) -> DataFrame:
-    """Adds ``_doc`` (doc_id as long, the least long for null) and ``_nth``, which together name a row.
+    """``row`` (a struct of all columns of ``docs``, so that no name clashes), ``_doc`` (doc_id as long, the least
+    long for null) and ``_nth``; the last two together name a row.
 
-    Where doc_ids are unique, as they should be, _nth is 0; rows that share one are numbered by text.
+    Where doc_ids are unique, as they should be, _nth is 0. Rows that share one are numbered in an order that hangs
+    on all their columns (equal rows: on the part of the input too), in two steps, so that a frequent or missing
+    doc_id is no single task; the numbered table is written once, so every use sees the same numbers.
     """
-    from pyspark.sql import Window
-
-    named = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
-    if named.groupBy("_doc").count().where("count > 1").isEmpty():
-        return named.withColumn("_nth", F.lit(0))
-    return named.withColumn("_nth", F.row_number().over(Window.partitionBy("_doc").orderBy("text")) - 1)
-
-
-def slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20):
-    """A batch in parts whose texts in ``column`` have about ``most`` bytes (one longer text is a part alone), so
-    that what is derived from a part stays small."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    named = docs.select(whole.alias(ROW), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias(DOC))
+    if named.groupBy(DOC).count().where("count > 1").isEmpty():
+        return named.withColumn(NTH, F.lit(0))
+    sortable = [f"row.`{f.name}`" for f in docs.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    dealt = named.withColumn("_hash", F.xxhash64(*sortable))
+    dealt = dealt.withColumn("_part", F.pmod("_hash", F.lit(_PARTS)) * _SHARES + F.pmod(F.spark_partition_id(), F.lit(_SHARES)))
+    dealt = save(dealt, "rows")
+    sizes = dealt.groupBy(DOC, "_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(DOC).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy(DOC, "_part").orderBy("_hash", *sortable))
+    ranked = dealt.withColumn("_own", own).join(sizes.select(DOC, "_part", before.alias("_before")), [DOC, "_part"])
+    return save(ranked.select(ROW, DOC, (F.col("_before") + F.col("_own") - 1).cast("int").alias(NTH)), "numbered")
+
+
+def slices(batch: pa.RecordBatch, column: int, field: int | None = None, most: int = 4 << 20):
+    """A batch in parts whose texts in ``column`` (or a field of that struct) have about ``most`` bytes (one longer
+    text is a part alone), so that what is derived from a part stays small."""
+    texts = batch.column(column) if field is None else batch.column(column).field(field)
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     begin, held = 0, 0
     for i, n in enumerate(sizes.tolist()):
         if i > begin and held + n > most:

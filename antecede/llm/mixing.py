@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Saved, documents, with_nth
+from .common import DOC, NTH, ROW, Saved, documents, with_nth
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in code point order, repeating.
@@ -152,9 +152,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MAX_C
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MAX_COPIES) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, with its own columns."""
     named = with_nth(docs)
-    counts = mix(named, weights, most, ("_doc", "_nth")).where("copies > 0").select("_doc", "_nth", "copies")
-    repeated = named.join(counts, ["_doc", "_nth"]).withColumn("_again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return repeated.select(*docs.columns)
+    counts = mix(named.select(DOC, NTH, f"{ROW}.text", f"{ROW}.source"), weights, most, (DOC, NTH)).where("copies > 0").select(DOC, NTH, "copies")
+    repeated = named.join(counts, [DOC, NTH]).select(ROW, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return repeated.select(f"{ROW}.*")
 
 
 def op2_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:

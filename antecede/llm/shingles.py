@@ -9,21 +9,25 @@ import numpy as np
 WORDS = 5
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-#: Bytes of a text hashed at once.
-_PART = 1 << 22
+#: Bytes of a text hashed at once; powers of the base that a worker keeps.
+_PART = (1 << 20) - 1
+_KEPT = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for i, base in enumerate((_BASE, _INVERSE)):
+    found = _powers
+    if len(found[0]) < n:
+        size, found = 1 << (n - 1).bit_length(), []
+        for base in (_BASE, _INVERSE):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
-            _powers[i] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[0], _powers[1]
+            found.append(np.cumprod(steps, dtype=np.uint64))
+        if size <= _KEPT:
+            _powers[:] = found
+    return found[0], found[1]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

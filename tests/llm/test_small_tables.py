@@ -11,6 +11,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -393,13 +394,52 @@ def test_repeats(spark, threshold, anchor):
     assert suffix_dedup.remove_repeats(frame(spark, [])).count() == 0
 
 
+def test_repeats_of_rows_with_clashing_names_and_one_id(spark):
+    rng = random.Random(4)
+    say = lambda k: "".join(rng.choice("abcdefgh ") for _ in range(k))
+    once = [say(300) for _ in range(6)]
+    rows = [(None, once[0], 1), (None, once[1], 2), (7, once[2], 3), (7, once[3], 4), (7, once[3], 5), (8, once[0] + once[4], 6), (9, None, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _doc long").select("*", *(F.col("_doc").alias(c) for c in ("row", "_nth", "_repeats", "repeats", "at", "n_bytes", "kept")))
+    got = suffix_dedup.remove_repeats(docs).collect()
+    assert sorted(r["_doc"] for r in got) == [1, 2, 3, 4, 5, 6, 7] and all(r["row"] == r["_doc"] == r["_repeats"] == r["at"] for r in got)
+    removed = {r["_doc"]: r["n_removed"] for r in got}
+    assert [removed[k] for k in (1, 2, 3, 6, 7)] == [0, 0, 0, 300, 0] and sorted((removed[4], removed[5])) == [0, 300]
+
+
+def test_many_contents_around_one_phrase(spark):
+    """200,000 documents of random letters around one phrase as long as an anchor, a few of which do repeat."""
+    import xxhash
+
+    rng = np.random.default_rng(5)
+    letters = rng.integers(97, 123, (200_000, 200)).astype(np.uint8)
+    letters[:, 90:126] = np.frombuffer(b"this phrase stands in every document", np.uint8)
+    letters[5_000, 20:160] = letters[199_000, 20:160]
+    letters[77, 30:150] = letters[4_000, 30:150]
+    docs = [x.tobytes().decode() for x in letters]
+    seen, want = set(), {}
+    for i, t in enumerate(docs):
+        gone = np.zeros(200, bool)
+        for k in range(101):
+            name = xxhash.xxh3_128_digest(t[k : k + 100])
+            if name in seen:
+                gone[k : k + 100] = True
+            seen.add(name)
+        if gone.any():
+            want[i] = int(gone.sum())
+    table = spark.createDataFrame(pd.DataFrame({"doc_id": np.arange(len(docs)), "text": docs}))
+    got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.remove_repeats(table).where("n_removed > 0").collect()}
+    assert got == want and set(want) == {4_000, 199_000}
+    anchors = suffix_dedup.frequent_anchors(table.select(F.col("doc_id").alias("_doc"), F.lit(0).alias("_nth"), "text"), 100, 36)
+    assert len(anchors)
+
+
 def test_long_text_is_cut_in_parts(monkeypatch):
     rng = np.random.default_rng(1)
     data = rng.integers(97, 99, 5000).astype(np.uint8)
     whole = {}
     monkeypatch.setattr(suffix_dedup, "_PART", 1000)
-    for lo, n, place, a, _ in suffix_dedup.segments(data, 20, 8):
-        for x, k, p, h in zip(lo, n, place, a, strict=True):
+    for lo, n, offset, a in suffix_dedup.segments(data, 20, 8):
+        for x, k, p, h in zip(lo, n, lo + offset, a, strict=True):
             for w in range(x, x + k):
                 assert w not in whole and w <= p <= w + 12
                 whole[w] = (p - w, h)
