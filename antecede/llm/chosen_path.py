@@ -3,13 +3,16 @@
 Texts with equal sets of five-word shingles are one class member from the start. Each distinct set gets a MinHash
 sketch, whose coordinates are its sampled tokens. A run starts with all sets in one bucket. A bucket of more than
 ``SMALL`` sets is split: two coordinates, chosen by the bucket's path, and the values there name the buckets of
-the next level; a set goes to both. A small bucket is searched by brute force on the sketches; one that is still
-large at the last level is taken as a whole. Two similar sets fail to meet in a run with a known chance, and runs
-are repeated until the chance that they meet in one reaches the target recall.
-
-Sets that met and whose sketches may be as similar as asked make candidate components. Inside those every pair is
-compared exactly, block by block on the full sets, so a pair that no bucket had is still found there, and no pair
-is written out: a block gives each set's number of links and only those links that join its sets to trees.
+the next level; a set goes to both. A small bucket is searched by brute force on the sketches. In a large one each
+set is compared with the bucket's centre first; those all but equal to it are linked to it and go no further, so a
+large group of near copies does not multiply from level to level. What is still large at the last level is compared
+in blocks. Two similar sets fail to meet in a run with a known chance, and runs are repeated until the chance that
+they meet in one reaches the target recall.
+
+Sets that met and whose sketches may be as similar as asked make candidate components. Inside those every pair whose
+sizes allow it is compared exactly, block by block on the full sets, so a pair that no bucket had is still found
+there, and no pair is written out: a block gives each set's number of links and only those links that join its sets
+to trees. Blocks hold sets of like size, and only those of neighbouring sizes meet.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shingles as S
-from .common import Saved, documents
+from .common import DOC, NTH, ROW, Saved, documents, slices, with_nth
 from .components import components
 
 SIMILARITY = 0.8
@@ -31,10 +34,15 @@ TARGET_RECALL = 0.999
 #: Sketch coordinates; coordinates chosen at each bucket; levels; sets in a bucket that is searched directly.
 COORDINATES = 128
 CHOSEN = 2
-LEVELS = 4
+LEVELS = 8
 SMALL = 128
-#: Sets in a block of the exact comparison.
-BLOCK = 256
+#: Agreement with its centre at which a set leaves a large bucket, and how much less than others a link to it needs.
+ALIKE = 0.97
+LOOSER = 0.06
+#: Sets in a block of the exact comparison, and bytes; sketches in a block of a large last bucket.
+BLOCK = 768
+BLOCK_BYTES = 16 << 20
+SKETCH_BLOCK = 512
 _SEED = 20240229
 
 
@@ -89,21 +97,21 @@ def _child_paths(paths: np.ndarray, sketches: np.ndarray, chosen: int) -> np.nda
     return out
 
 
-def sketched(docs: DataFrame, words: int = S.WORDS) -> DataFrame:
-    """doc_id, node (128 bits of the shingle set; null without words), sketch."""
+def sketched(texts: DataFrame, words: int = S.WORDS) -> DataFrame:
+    """_doc, _nth, node (128 bits of the shingle set; null without words), size of the set, sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = S.seeds(COORDINATES, _SEED)
-        for batch in batches:
-            nodes, sketches = [], []
-            for text in batch.column(1):
+        for batch in (part for whole in batches for part in slices(whole, 2)):
+            nodes, sizes, sketches = [], [], []
+            for text in batch.column(2):
                 own = S.shingles(text.as_py(), words)
                 nodes.append(S.set_key(own) if len(own) else None)
+                sizes.append(len(own))
                 sketches.append(S.sketch(own, seeds).tobytes() if len(own) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), pa.array(sketches, pa.binary())], ["doc_id", "node", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())], [DOC, NTH, "node", "size", "sketch"])
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, node binary, sketch binary")
+    return texts.mapInArrow(run, f"{DOC} long, {NTH} int, node binary, size long, sketch binary")
 
 
 def _split(rows: DataFrame, level: int, runs: int) -> DataFrame:
@@ -123,13 +131,14 @@ def _split(rows: DataFrame, level: int, runs: int) -> DataFrame:
     return rows.mapInArrow(run, "path long, node binary")
 
 
-def _glued(leaves: DataFrame, least: float) -> DataFrame:
-    """Links inside small buckets: pairs whose sketches agree enough, as trees, from sorted (path, node, sketch)."""
+def _glued(leaves: DataFrame, least: float, keys: int = 1) -> DataFrame:
+    """Links inside buckets, or pairs of blocks of one: pairs whose sketches agree enough, as trees, from rows sorted
+    by their ``keys`` columns, then node and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
-        for table in groups(batches, 1):
-            nodes, sketches = table.column(1).to_pylist(), _matrix(table.column(2), "<u4")
+        for table in groups(batches, keys):
+            nodes, sketches = table.column(keys).to_pylist(), _matrix(table.column(keys + 1), "<u4")
             near = np.empty((len(nodes), len(nodes)), bool)
             for i in range(len(nodes)):
                 near[i] = (sketches[i] == sketches).mean(axis=1) >= least
@@ -144,6 +153,32 @@ def _glued(leaves: DataFrame, least: float) -> DataFrame:
     return leaves.mapInArrow(run, "a binary, b binary")
 
 
+def _centred(rows: DataFrame, least: float) -> DataFrame:
+    """From (path, node, sketch, centre, middle): the same with ``linked`` (near the centre ``middle``) and
+    ``alike`` (all but equal to it), without ``middle``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                own, middle = (_matrix(pa.chunked_array([batch.column(k)]), "<u4") for k in (2, 4))
+                agreed = (own == middle).mean(axis=1)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(agreed >= least), pa.array(agreed >= ALIKE)], ["path", "node", "sketch", "centre", "linked", "alike"])
+
+    return rows.mapInArrow(run, "path long, node binary, sketch binary, centre binary, linked boolean, alike boolean")
+
+
+def block_pairs(rows: DataFrame, group: str, blocks: DataFrame, *carried: str) -> DataFrame:
+    """Rows of ``rows(group, class, node, ...)`` dealt into blocks, once for each pair of blocks that they are in:
+    group, i, j, node, block, and the carried columns. ``blocks(group, class, blocks)`` has the number of blocks of
+    each class; a class meets itself and the next ones on both sides."""
+    near = blocks.select(group, F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class"), F.col("class").alias("with"), F.col("blocks").alias("others"))
+    met = blocks.join(near, [group, "class"])
+    part = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    own, other = F.col("class") * F.lit(1 << 32) + part, F.col("with") * F.lit(1 << 32) + F.col("other")
+    dealt = rows.join(met, [group, "class"]).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1)))
+    return dealt.select(group, F.least(own, other).alias("i"), F.greatest(own, other).alias("j"), "node", own.alias("block"), *carried)
+
+
 def _trees(near: np.ndarray) -> Iterator[tuple[int, int]]:
     """A spanning forest of a symmetric matrix of links, breadth first."""
     left = np.ones(len(near), bool)
@@ -160,31 +195,44 @@ def _trees(near: np.ndarray) -> Iterator[tuple[int, int]]:
                 queue.append(j)
 
 
-def candidate_components(sets: DataFrame, similarity: float, target: float) -> Saved | None:
+def candidate_components(sets: DataFrame, similarity: float, target: float) -> Saved:
     """(node, component) of the sets that may have a similar one, from ``sets(node, sketch)``."""
     runs, least = runs_for(similarity, target), least_agreement(similarity)
     made: list[Saved] = []
-    links: DataFrame | None = None
+    links: list[DataFrame] = []
     rows = _split(sets.select("node", "sketch"), 0, runs)
     for level in range(1, LEVELS + 1):
         now = Saved(rows, "paths")
-        sizes = now.df.groupBy("path").agg(F.count("*").alias("sets")).where("sets > 1")
+        sizes = now.df.groupBy("path").agg(F.count("*").alias("sets"), F.min("node").alias("centre")).where("sets > 1")
         shared = Saved(now.df.join(sizes, "path"), "shared")
         now.drop()
         made.append(shared)
         small = shared.df.where(F.col("sets") <= SMALL).select("path", "node").join(sets, "node").select("path", "node", "sketch")
-        found = _glued(small.repartition("path").sortWithinPartitions("path"), least)
-        links = found if links is None else links.unionByName(found)
+        found = Saved(_glued(small.repartition("path").sortWithinPartitions("path"), least), "met")
+        made.append(found)
+        links.append(found.df)
         large = shared.df.where(F.col("sets") > SMALL)
-        if level == LEVELS:
-            # as a whole: each set with the least of its bucket
-            centre = large.groupBy("path").agg(F.min("node").alias("b"))
-            links = links.unionByName(large.join(centre, "path").select(F.col("node").alias("a"), "b").where("a != b"))
-        elif large.isEmpty():
+        if large.isEmpty():
             break
-        else:
-            rows = _split(large.select("path", "node").join(sets, "node").select("path", "node", "sketch"), level, runs)
-    out = components(links, "candidates")
+        # sketches of the centres come by their paths, of which there are at most one for SMALL rows
+        centres = large.select("path", "centre").distinct().join(sets.select(F.col("node").alias("centre"), F.col("sketch").alias("middle")), "centre")
+        rows = large.select("path", "node").join(sets, "node").join(centres, "path").select("path", "node", "sketch", "centre", "middle")
+        judged = Saved(_centred(rows, least - LOOSER), "centred")
+        made.append(judged)
+        links.append(judged.df.where("linked").select(F.col("node").alias("a"), F.col("centre").alias("b")))
+        left = judged.df.where("not alike").select("path", "node", "sketch")
+        if level < LEVELS:
+            rows = _split(left, level, runs)
+            continue
+        left = left.withColumn("class", F.lit(0).cast("long"))
+        blocks = left.groupBy("path", "class").agg(F.ceil(F.count("*") / SKETCH_BLOCK).alias("blocks"))
+        last = Saved(_glued(block_pairs(left, "path", blocks, "sketch").select("path", "i", "j", "node", "sketch").repartition("path", "i", "j").sortWithinPartitions("path", "i", "j"), least, 3), "met")
+        made.append(last)
+        links.append(last.df)
+    every = links[0]
+    for more in links[1:]:
+        every = every.unionByName(more)
+    out = components(every, "candidates")
     for x in made:
         x.drop()
     return out
@@ -244,49 +292,73 @@ def similar(sets: list[bytes], similarity: float) -> np.ndarray:
     return near
 
 
-def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, target: float = TARGET_RECALL, words: int = S.WORDS) -> DataFrame:
-    """Links of ``docs(doc_id, text)`` whose shingle sets have that Jaccard similarity or more.
-
-    Result, one row for each row of ``docs``: doc_id, class_id (the least doc_id of its connected component; null
-    if none has one), n_links (other rows linked to it, copies included), n_copies (rows with an equal set, itself
-    included). A text without words has an empty set and no links: a class of its own, n_copies 1. Fewer than
-    five words: all of them are one shingle. Repeated rows are copies of each other. Other columns are not
-    carried; no rows give no rows.
-    """
-    base = Saved(sketched(docs, words), "sketched")
-    sets = Saved(base.df.where("node is not null").groupBy("node").agg(F.first("sketch").alias("sketch"), F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "sets")
+def similar_classes(named: DataFrame, similarity: float = SIMILARITY, target: float = TARGET_RECALL, words: int = S.WORDS) -> DataFrame:
+    """Links of the rows of ``named`` (as ``with_nth`` names them; row has a text) whose shingle sets have that
+    Jaccard similarity or more: _doc, _nth, first (is_null, doc, nth: the row of its connected component with the
+    least doc_id, null last), n_links, n_copies."""
+    texts = named.select(DOC, NTH, F.col(f"{ROW}.text").cast("string").alias("text"))
+    base = Saved(sketched(texts, words), "sketched")
+    own = F.struct((F.col(DOC) == -(1 << 63)).alias("is_null"), F.col(DOC).alias("doc"), F.col(NTH).alias("nth"))
+    sets = Saved(
+        base.df.where("node is not null")
+        .groupBy("node")
+        .agg(F.first("sketch").alias("sketch"), F.min(own).alias("rep"), F.count("*").alias("copies"), F.first("size").alias("size")),
+        "sets",
+    )
     candidates = candidate_components(sets.df.select("node", "sketch"), similarity, target)
-    members = candidates.df.join(sets.df.select("node", "rep", "copies"), "node")
+    # a set is similar only to sets of its own or a neighbouring class of sizes
+    step = -math.log(similarity) * (1 + 1e-9) if similarity < 1 else None
+    size_class = F.floor(F.log(F.col("size").cast("double")) / step).cast("long") if step else F.col("size")
+    members = Saved(candidates.df.join(sets.df.select("node", "rep", "copies", "size"), "node").withColumn("class", size_class), "members")
 
     def reshingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [S.shingles(x.as_py(), words) for x in batch.column(1)]
-            same = [S.set_key(x) == n for x, n in zip(own, batch.column(0).to_pylist(), strict=True)]
-            kept = [k for k, s in enumerate(same) if s]  # a repeated doc_id may come with other texts
-            yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[k].as_py() for k in kept], pa.binary()), pa.array([own[k].astype("<u8").tobytes() for k in kept], pa.binary())], ["node", "shingles"])
-
-    texts = docs.select(F.col("doc_id").alias("rep"), F.col("text").cast("string").alias("text"))
-    full = texts.join(members.select("rep", "node"), texts["rep"].eqNullSafe(members["rep"])).select("node", "text").mapInArrow(reshingle, "node binary, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
-    full = Saved(full, "shingles")
-    sizes = candidates.df.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    paired = dealt.select("component", "node", "copies", "block", other.alias("other")).select(
-        "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block", "copies"
-    )
+        for batch in (part for whole in batches for part in slices(whole, 1)):
+            sets_ = [S.shingles(x.as_py(), words).astype("<u8").tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets_, pa.binary())], ["node", "shingles"])
+
+    wanted = members.df.select(F.col("rep.doc").alias(DOC), F.col("rep.nth").alias(NTH), "node")
+    full = Saved(texts.join(wanted, [DOC, NTH]).select("node", "text").mapInArrow(reshingle, "node binary, shingles binary"), "shingles")
+    blocks = members.df.groupBy("component", "class").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") * 8 / BLOCK_BYTES)).alias("blocks"))
+    paired = block_pairs(members.df, "component", blocks, "copies")
     rows = paired.join(full.df, "node").select("component", "i", "j", "node", "block", "copies", "shingles")
     found = Saved(_exact(rows.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j"), similarity), "exact")
     full.drop()
+    candidates.drop()
     links = found.df.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     classes = components(found.df.where("b is not null").select("a", "b"), "classes")
-    least = classes.df.join(sets.df.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("class_id"))
-    known = sets.df.select("node", "rep", "copies").join(classes.df.join(least, "component").select("node", "class_id"), "node", "left").join(links, "node", "left")
-    known = known.select("node", F.coalesce("class_id", "rep").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
-    joined = base.df.where("node is not null").select("doc_id", "node").join(known, "node")
-    linked = joined.select("doc_id", "class_id", (F.col("links") + F.col("copies") - 1).cast("long").alias("n_links"), F.col("copies").cast("long").alias("n_copies"))
-    alone = base.df.where("node is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
+    least = classes.df.join(sets.df.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("first"))
+    known = sets.df.select("node", "rep", "copies").join(classes.df.join(least, "component").select("node", "first"), "node", "left").join(links, "node", "left")
+    known = known.select("node", F.coalesce("first", "rep").alias("first"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    joined = base.df.where("node is not null").select(DOC, NTH, "node").join(known, "node")
+    linked = joined.select(DOC, NTH, "first", (F.col("links") + F.col("copies") - 1).cast("long").alias("n_links"), F.col("copies").cast("long").alias("n_copies"))
+    alone = base.df.where("node is null").select(DOC, NTH, own.alias("first"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
     return linked.unionByName(alone)
 
 
+def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, target: float = TARGET_RECALL, words: int = S.WORDS) -> DataFrame:
+    """Links of ``docs(doc_id, text)`` whose shingle sets have that Jaccard similarity or more.
+
+    Result, one row for each row of ``docs``: doc_id, class_id (the least doc_id of its connected component; null
+    if none has one), n_links (other rows linked to it, copies included), n_copies (rows with an equal set, itself
+    included). A text without words has an empty set and no links: a class of its own, n_copies 1. Fewer than
+    five words: all of them are one shingle. Repeated rows are copies of each other; rows that share or lack a
+    doc_id are told apart. Other columns are not carried; no rows give no rows.
+    """
+    kind = dict(docs.dtypes)["doc_id"]
+    found = similar_classes(with_nth(docs.select("doc_id", "text")), similarity, target, words)
+    doc_id = F.when(F.col(DOC) != -(1 << 63), F.col(DOC)).cast(kind)
+    return found.select(doc_id.alias("doc_id"), F.when(~F.col("first.is_null"), F.col("first.doc")).cast(kind).alias("class_id"), "n_links", "n_copies")
+
+
+def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, target: float = TARGET_RECALL, words: int = S.WORDS) -> DataFrame:
+    """The rows of ``docs`` but for near copies: of each connected component the row with the least doc_id (null
+    last) stays, with all its columns. Rows without words are nobody's copies and stay; so does every row that is
+    unlike the others, whatever its doc_id. No rows give no rows."""
+    named = with_nth(docs)
+    found = similar_classes(named, similarity, target, words)
+    kept = found.where((F.col("first.doc") == F.col(DOC)) & (F.col("first.nth") == F.col(NTH))).select(DOC, NTH)
+    return named.join(kept, [DOC, NTH], "left_semi").select(f"{ROW}.*")
+
+
 def op9_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(documents(spark, sf_dir, "doc_id", "text"))
