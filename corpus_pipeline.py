@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from antecede.llm.chosen_path import jaccard_join
+from antecede.llm import chosen_path
 from antecede.llm.common import documents, save, ship
 from antecede.llm.language_id import UNKNOWN, fit, predict
 from antecede.llm.mixing import mixed_documents
@@ -30,18 +30,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies one document stays: that with the least doc_id (null last), then the least
-    digest of its text. Rows are named by both, so other texts under the same or no doc_id stay; texts without
-    words are no copies of each other and all stay."""
+    """Of each class of near copies the row with the least doc_id (null last) stays. Rows without words are no
+    copies of each other, and rows that share or lack a doc_id are told apart."""
     ship(spark)
-    name = F.struct(F.col("doc_id").isNull().alias("last"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("digest"))
-    wordless = F.coalesce(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
-    named = docs.select(*COLUMNS).withColumn("_name", name).withColumn("_wordless", wordless)
-    least = jaccard_join(named.where(~F.col("_wordless")).select(F.col("_name").alias("doc_id"), "text")).where("doc_id = class_id").select(F.col("doc_id").alias("_name")).distinct()
-    left = named.where(~F.col("_wordless")).join(least, "_name", "left_semi")
-    if not left.groupBy("_name").count().where("count > 1").isEmpty():  # one text several times under one doc_id
-        left = left.groupBy("_name").agg(F.min(F.struct(*COLUMNS)).alias("x")).select(*(f"x.{c}" for c in COLUMNS))
-    return left.select(*COLUMNS).unionByName(named.where("_wordless").select(*COLUMNS))
+    return chosen_path.drop_near_copies(docs.select(*COLUMNS))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
