@@ -3,7 +3,8 @@
 Both supported vocabularies split a text with a regular expression and merge inside each piece alone, so the
 ids of a text are those of its pieces in order. Texts made of ASCII and the Latin-1 letters, where the classes
 of that expression are certain, are split here and looked up in a cache that the tokenizer itself fills; every
-other text goes to the tokenizer whole. A test holds both ways against each other.
+other text goes to the tokenizer whole, and so does a text that holds the string of a special token, which the
+library turns into that token's id. A test holds both ways against each other.
 """
 
 from __future__ import annotations
@@ -57,7 +58,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.lower = self.tokenizer.normalizer is not None
         self.split = _SPLIT["word" if self.lower else "byte"]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
@@ -74,7 +75,7 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if _UNSURE.search(text):
+        if _UNSURE.search(text) or any(x in text for x in self.added):
             return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
         if self.lower:
             text = text.lower()

@@ -2,8 +2,10 @@
 
 Lengths are at most ``capacity``, so the pieces alone (a few numbers each) are packed. They are dealt by hash
 into groups of bounded size, and each group is packed in one task: best fit decreasing, then a local search over
-the bins with free space. It moves a piece, exchanges one piece for one or one for two, always from an emptier
-bin into a fuller one, which raises the sum of squared fills, until no exchange is left or bins are empty.
+the bins with free space. It takes bins from the emptiest on and gives one or two of a bin's pieces to another bin,
+for nothing (a move) or for one or two shorter ones, if that raises the sum of squared fills, until the bin is empty
+or nothing of it can be given. Passes over the bins go on until one of them finds no exchange; as the sum rises
+with each exchange, they end.
 """
 
 from __future__ import annotations
@@ -18,14 +20,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import Encoder
-from .common import documents, save
+from .common import documents, save, slices
 
 CAPACITY = 1024
 #: Pieces in a group that one task packs. More pieces make more groups, never larger ones.
 GROUP_PIECES = 40_000
-#: Exchanges that the local search of one group may make, and bins one after another without any that end it.
-MAX_STEPS = 20_000
-MAX_FAILURES = 64
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> np.ndarray:
@@ -49,67 +48,112 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> np.ndarray:
     return where
 
 
-def local_search(lengths: np.ndarray, where: np.ndarray, capacity: int, max_steps: int = MAX_STEPS) -> np.ndarray:
+class _Bins:
+    """Bins with room and, for each length that one or two of a bin's pieces have together (or 0, for none), the
+    bins that can return it, by room."""
+
+    def __init__(self, lengths: list[int], capacity: int):
+        self.lengths, self.capacity = lengths, capacity
+        self.members: dict[int, list[int]] = {}
+        self.fill: dict[int, int] = {}
+        self.values: dict[int, set[int]] = {}
+        #: of each value: the bins by room, the rooms as bits, and the greatest room (-1: none)
+        self.by_room: list[dict[int, set[int]]] = [{} for _ in range(capacity + 1)]
+        self.rooms = [0] * (capacity + 1)
+        self.most = np.full(capacity + 1, -1, np.int64)
+
+    def insert(self, b: int, members: list[int]) -> None:
+        """Full and empty bins are held, but no longer looked at."""
+        self.members[b], self.fill[b] = members, sum(self.lengths[p] for p in members)
+        room = self.capacity - self.fill[b]
+        own = sums(self.lengths[p] for p in members) if room and members else set()
+        self.values[b] = own
+        for v in own:
+            at = self.by_room[v].setdefault(room, set())
+            if not at:
+                self.rooms[v] |= 1 << room
+                self.most[v] = max(self.most[v], room)
+            at.add(b)
+
+    def remove(self, b: int) -> None:
+        room = self.capacity - self.fill[b]
+        for v in self.values.pop(b):
+            at = self.by_room[v][room]
+            at.discard(b)
+            if not at:
+                self.rooms[v] &= ~(1 << room)
+                self.most[v] = self.rooms[v].bit_length() - 1
+
+    def taker(self, n: int, fill: int) -> tuple[int, int] | None:
+        """The bin that takes pieces of length ``n`` from a bin with that fill, and what it returns, as little as
+        can be; of several the fullest."""
+        for v in np.flatnonzero(self.most[:n] >= np.arange(n, 0, -1)).tolist():
+            fitting = self.rooms[v] >> (n - v)
+            room = n - v + (fitting & -fitting).bit_length() - 1
+            if self.capacity - room + n - v > fill:  # the sum of squares rises
+                return min(self.by_room[v][room]), v
+        return None
+
+    def chosen(self, b: int, value: int) -> list[int]:
+        """One or two of a bin's pieces that have that length together; none for 0."""
+        if not value:
+            return []
+        at: dict[int, int] = {}
+        for p in self.members[b]:
+            n = self.lengths[p]
+            if n == value:
+                return [p]
+            at.setdefault(n, p)
+        seen: dict[int, int] = {}
+        for p in self.members[b]:
+            n = self.lengths[p]
+            if value - n in seen:
+                return [seen[value - n], p]
+            seen.setdefault(n, p)
+        raise AssertionError("a bin lacks what its index says")
+
+
+def sums(lengths) -> set[int]:
+    """0, the lengths, and the lengths of pairs."""
+    once, twice = set(), set()
+    for n in lengths:
+        (twice if n in once else once).add(n)
+    every = sorted(once)
+    return {0, *every, *(n + n for n in twice), *(a + b for i, a in enumerate(every) for b in every[:i])}
+
+
+def local_search(lengths: np.ndarray, where: np.ndarray, capacity: int) -> np.ndarray:
     """Raises the sum of squared fills by exchanges between bins with room, draining the emptiest bins first."""
     where = where.copy()
-    fill = np.bincount(where, lengths, minlength=int(where.max(initial=-1)) + 1).astype(np.int64)
-    open_ = np.flatnonzero(fill[where] < capacity)  # pieces in bins with room
-    if not len(open_):
-        return where
-    size, steps, tired, failures = lengths[open_].astype(np.int64), 0, set(), 0
-    at = where[open_].copy()
-    while steps < max_steps and failures < MAX_FAILURES:
-        live = np.unique(at)
-        live = live[(fill[live] > 0) & (fill[live] < capacity)]
-        live = live[np.argsort(fill[live], kind="stable")]
-        low = next((int(b) for b in live if int(b) not in tired), None)
-        if low is None or len(live) < 2:
-            break
-        moved = False
-        room = capacity - fill[at]
-        others = (at != low) & (fill[at] >= fill[low])
-        for p in sorted(np.flatnonzero(at == low).tolist(), key=lambda j: -size[j]):
-            n = int(size[p])
-            fits = np.flatnonzero(others & (room >= n))
-            if len(fits):  # move
-                b = int(at[fits[np.argmin(room[fits])]])
-                fill[low] -= n
-                fill[b] += n
-                at[p], moved = b, True
-                break
-            # one for one: a shorter piece comes back, and the fuller bin gains
-            swap = np.flatnonzero(others & (size < n) & (size + room >= n))
-            if len(swap):
-                q = int(swap[np.argmin(size[swap])])
-                b = int(at[q])
-                fill[low] += size[q] - n
-                fill[b] += n - size[q]
-                at[p], at[q], moved = b, low, True
-                break
-            # one for two: the two shortest pieces of a bin together
-            order = np.lexsort((size, at))
-            same = at[order][1:] == at[order][:-1]
-            first = np.r_[True, ~same]
-            lead = order[np.flatnonzero(first)]
-            second_at = np.flatnonzero(first) + 1
-            has_two = (second_at < len(order)) & np.r_[same, False][np.minimum(second_at - 1, len(order) - 1)]
-            lead, second = lead[has_two], order[second_at[has_two]]
-            pair = size[lead] + size[second]
-            ok = np.flatnonzero(others[lead] & (pair < n) & (pair + room[lead] >= n))
-            if len(ok):
-                k = ok[np.argmin(pair[ok])]
-                q, r, b = int(lead[k]), int(second[k]), int(at[lead[k]])
-                fill[low] += pair[k] - n
-                fill[b] += n - pair[k]
-                at[p], at[q], at[r], moved = b, low, low, True
-                break
-        steps += 1
-        failures = 0 if moved else failures + 1
-        if moved:
-            tired.discard(low)
-        else:
-            tired.add(low)
-    where[open_] = at
+    sizes = lengths.tolist()
+    members: dict[int, list[int]] = {}
+    for p, b in enumerate(where.tolist()):
+        members.setdefault(b, []).append(p)
+    bins = _Bins(sizes, capacity)
+    for b, own in members.items():
+        if sum(sizes[p] for p in own) < capacity:
+            bins.insert(b, own)
+    changed = True
+    while changed:
+        changed = False
+        for low in sorted(bins.values, key=lambda b: (bins.fill[b], b)):
+            while 0 < bins.fill[low] < capacity:
+                bins.remove(low)
+                found = None
+                for n in sorted(sums(sizes[p] for p in bins.members[low]) - {0}, reverse=True):
+                    if n <= capacity and (found := bins.taker(n, bins.fill[low])):
+                        break
+                if found is None:
+                    bins.insert(low, bins.members[low])
+                    break
+                other, value = found
+                given, returned = bins.chosen(low, n), bins.chosen(other, value)
+                bins.remove(other)
+                bins.insert(other, [p for p in bins.members[other] if p not in returned] + given)
+                bins.insert(low, [p for p in bins.members[low] if p not in given] + returned)
+                changed = True
+    for b, own in bins.members.items():
+        where[own] = b
     return where
 
 
@@ -127,7 +171,7 @@ def encoded_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.load(tokenizer)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = np.append(np.frombuffer(encoder.encode(text.as_py()), encoder.dtype), encoder.dtype.type(end_id)).astype("<u4")
@@ -147,11 +191,12 @@ def encoded_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Adds sequence_id and offset to a table with doc_id, piece, start, length and ids_crc32.
 
-    Groups are dealt by hash over every column, so only rows alike in all of them share a group unasked.
+    Groups are dealt by hash over every column and the row's place in the table, so rows alike in all columns are
+    spread too.
     """
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     groups = max(1, -(-pieces.count() // group_pieces))
-    dealt = pieces.select(*columns, F.pmod(F.xxhash64(*columns), F.lit(groups)).alias("group"))
+    dealt = pieces.select(*columns, F.pmod(F.xxhash64(*columns, F.monotonically_increasing_id()), F.lit(groups)).alias("group"))
 
     def place(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(columns, kind="stable", ignore_index=True)
