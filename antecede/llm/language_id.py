@@ -1,12 +1,14 @@
 """Operator 7. Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Fitting counts the hashed n-grams of each language in a bounded sample of labelled documents; the sums have at
-most languages x buckets rows. The matrix of log probabilities (languages x buckets, 32-bit) is broadcast; its
-size is checked. Scoring gathers the rows of a text's n-grams, a sparse list of bucket numbers, in numpy.
+most languages x buckets rows. The matrix of log probabilities (languages x buckets, 32-bit) is broadcast; it has at
+most ``MODEL_BYTES``: more than 256 languages hash to fewer buckets, half as many for twice the languages. Scoring
+gathers the rows of a text's n-grams, a sparse list of bucket numbers, in numpy.
 """
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -16,19 +18,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, slices
 
 #: Lengths of the n-grams, and the number of buckets they hash to.
 GRAMS = (2, 3)
 BUCKETS = 1 << 16
 #: Added to every count.
 SMOOTHING = 0.5
-#: The bounds of the sample that a model is fitted on: documents of each language (about), and languages.
+#: The bound of the sample that a model is fitted on: documents of each language (about).
 FIT_DOCUMENTS = 4_000
-MAX_LANGUAGES = 64
 #: Characters worked on at once.
 CHUNK = 1 << 20
+#: The size of a model, and the buckets that it has at least; what needs more is no language column.
 MODEL_BYTES = 64 << 20
+LEAST_BUCKETS = 1 << 10
 UNKNOWN = "und"
 
 _SPACE, _BREAK = 32, 0
@@ -42,20 +45,20 @@ def _letters() -> np.ndarray:
     return _alpha[0]
 
 
-def _chunks(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Normalized characters and the number of their text, some texts (or a part of one) at a time.
+def _chunks(texts: list[str | None]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Normalized characters, the numbers of their text and of their part of one, and how many characters from there
+    on were in the part before, some texts (or a part of one) at a time.
 
     Letters in lower case, each run of others one space, a space at both ends; texts end with ``_BREAK``. A longer
-    text is cut every ``CHUNK`` characters; the next part begins with the last ones, so no n-gram is lost (a short
-    one inside those may count twice).
+    text is cut every ``CHUNK`` characters; the next part begins with the last ones again, so no n-gram is lost.
     """
-    parts, owners, held = [], [], 0
+    parts, owners, known, size = [], [], [], 0
     longest = max(GRAMS)
     for i, text in enumerate(texts):
         if not text:
             continue
         text = text.lower()
-        last_space, carry = True, np.array([_SPACE], np.uint32)
+        last_space, carry, again = True, np.array([_SPACE], np.uint32), 0
         for at in range(0, len(text), CHUNK):
             chars = np.frombuffer(text[at : at + CHUNK].encode("utf-32-le", "surrogatepass"), np.uint32)
             chars = np.where(_letters()[chars], chars, _SPACE).astype(np.uint32)
@@ -63,34 +66,44 @@ def _chunks(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             before = np.r_[last_space, space[:-1]]
             last_space = bool(space[-1])
             chars = np.r_[carry, chars[~(space & before)]]
+            held = np.maximum(again - np.arange(len(chars)), 0)
             if at + CHUNK >= len(text):
                 chars = np.r_[chars, np.array([_BREAK] if last_space else [_SPACE, _BREAK], np.uint32)]
+                held = np.r_[held, np.zeros(len(chars) - len(held), held.dtype)]
             else:
                 carry = chars[-(longest - 1) :]
+                again = len(carry)
             parts.append(chars)
             owners.append(i)
-            held += len(chars)
-            if held >= CHUNK:
-                yield np.concatenate(parts), np.repeat(owners, [len(p) for p in parts])
-                parts, owners, held = [], [], 0
+            known.append(held)
+            size += len(chars)
+            if size >= CHUNK:
+                yield _joined(parts, owners, known)
+                parts, owners, known, size = [], [], [], 0
     if parts:
-        yield np.concatenate(parts), np.repeat(owners, [len(p) for p in parts])
+        yield _joined(parts, owners, known)
 
 
-def grams(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _joined(parts: list[np.ndarray], owners: list[int], known: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    sizes = [len(p) for p in parts]
+    return np.concatenate(parts), np.repeat(owners, sizes), np.repeat(np.arange(len(parts)), sizes), np.concatenate(known)
+
+
+def grams(texts: list[str | None], buckets: int = BUCKETS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Bucket of each n-gram and the number of its text."""
-    for chars, owner in _chunks(texts):
+    for chars, owner, part, known in _chunks(texts):
         wide = chars.astype(np.uint64)
         for n in GRAMS:
             if len(chars) < n:
                 continue
             size = len(chars) - n + 1
-            key, whole = wide[:size].copy(), chars[:size] != _BREAK
+            # an n-gram lies in one part, and counts in the first that has all of it
+            key, whole = wide[:size].copy(), (chars[:size] != _BREAK) & (known[:size] < n)
             for k in range(1, n):
                 key = (key << np.uint64(21)) | wide[k : k + size]
-                whole &= (chars[k : k + size] != _BREAK) & (owner[k : k + size] == owner[:size])
+                whole &= (chars[k : k + size] != _BREAK) & (part[k : k + size] == part[:size])
             key = (key + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
-            yield ((key[whole] >> np.uint64(40)) & np.uint64(BUCKETS - 1)).astype(np.int64), owner[:size][whole]
+            yield ((key[whole] >> np.uint64(40)) & np.uint64(buckets - 1)).astype(np.int64), owner[:size][whole]
 
 
 @dataclass
@@ -104,7 +117,7 @@ class Model:
         """The likeliest language of each text and its posterior; ``und`` and 0 for a text without letters."""
         found = np.zeros((len(texts), len(self.languages)))
         any_letter = np.zeros(len(texts), bool)
-        for buckets, owner in grams(texts):
+        for buckets, owner in grams(texts, self.log_probability.shape[1]):
             for k in range(len(self.languages)):
                 found[:, k] += np.bincount(owner, self.log_probability[k][buckets], len(texts))
         for i, text in enumerate(texts):
@@ -117,43 +130,46 @@ class Model:
         return [self.languages[b] if a else UNKNOWN for a, b in zip(any_letter, best, strict=True)], np.where(any_letter, posterior, 0.0)
 
 
-def fit(labelled: DataFrame, fit_documents: int = FIT_DOCUMENTS, max_languages: int = MAX_LANGUAGES) -> Model:
+def fit(labelled: DataFrame, fit_documents: int = FIT_DOCUMENTS) -> Model:
     """A model from ``labelled(doc_id, text, lang)``; rows without lang or text take no part.
 
-    Languages: the ``max_languages`` with the most documents. Sample: the documents of a language whose hashed
-    doc_id is under the share that gives about ``fit_documents`` of them. Repeated rows count as often as they
-    come. Without labelled rows the model knows no language and answers ``und``.
+    Every value of lang is a language. Sample: the documents of a language whose hashed doc_id and text are under the
+    share that gives about ``fit_documents`` of them. Repeated rows count as often as they come. Without labelled
+    rows the model knows no language and answers ``und``.
     """
-    spark = labelled.sparkSession
     usable = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    most = MODEL_BYTES // 4 // LEAST_BUCKETS
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).limit(most + 1).collect()
+    if len(counts) > most:
+        raise ValueError(f"more than {most} languages: their model is too large to broadcast")
     languages = sorted(r["lang"] for r in counts)
     if not languages:
         return Model([], np.zeros((0, BUCKETS), np.float32), np.zeros(0))
+    size = BUCKETS
+    while len(languages) * size * 4 > MODEL_BYTES:
+        size //= 2
     n_of = {r["lang"]: r["n"] for r in counts}
     whole = 1 << 20
-    share = F.create_map(*(x for lang in languages for x in (F.lit(lang), F.lit(min(whole, math.ceil(whole * fit_documents / n_of[lang]))))))
-    sample = usable.where(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(whole)) < F.element_at(share, F.col("lang")))
+    share = F.from_json(F.lit(json.dumps({lang: min(whole, math.ceil(whole * fit_documents / n)) for lang, n in n_of.items()})), "map<string,int>")
+    sample = usable.where(F.pmod(F.xxhash64(F.lit("fit"), "doc_id", F.col("text").cast("string")), F.lit(whole)) < F.element_at(share, F.col("lang")))
     number = {lang: i for i, lang in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(languages), BUCKETS), np.int64)
-        for batch in batches:
+        total = np.zeros(len(languages) * size, np.int32)
+        for batch in (part for w in batches for part in slices(w, 0)):
             of = np.array([number[x] for x in batch.column(1).to_pylist()])
-            for buckets, owner in grams(batch.column(0).to_pylist()):
-                total += np.bincount(of[owner] * BUCKETS + buckets, minlength=total.size).reshape(total.shape)
-        lang, bucket = total.nonzero()
-        yield pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(bucket, pa.int32()), pa.array(total[lang, bucket], pa.int64())], ["lang", "bucket", "n"])
+            for buckets, owner in grams(batch.column(0).to_pylist(), size):
+                at, n = np.unique(of[owner] * size + buckets, return_counts=True)
+                total[at] += n.astype(np.int32)
+        at = total.nonzero()[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at // size, pa.int32()), pa.array(at % size, pa.int32()), pa.array(total[at], pa.int64())], ["lang", "bucket", "n"])
 
     partial = sample.select(F.col("text").cast("string"), "lang").mapInArrow(count, "lang int, bucket int, n long")
-    sums = partial.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # languages x buckets rows at most
-    total = np.full((len(languages), BUCKETS), SMOOTHING)
+    sums = partial.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # a model's worth of rows at most
+    total = np.full((len(languages), size), SMOOTHING)
     total[sums["lang"].to_numpy(), sums["bucket"].to_numpy()] += sums["n"].to_numpy()
     prior = np.array([n_of[x] for x in languages], float)
-    model = Model(languages, np.log(total / total.sum(axis=1, keepdims=True)).astype(np.float32), np.log(prior / prior.sum()))
-    if model.log_probability.nbytes > MODEL_BYTES:
-        raise ValueError(f"a model of {model.log_probability.nbytes} bytes is too large to broadcast")
-    return model
+    return Model(languages, np.log(total / total.sum(axis=1, keepdims=True)).astype(np.float32), np.log(prior / prior.sum()))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -167,7 +183,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, place)):
             languages, scores = own.score(batch.column(place).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(languages, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 

@@ -56,26 +56,22 @@ def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, v (array<double>): rows that take part. Not those with a null id or vector, a null or non-finite
-    component, all zeros, or another number of components than most. Of rows with one vec_id, the least vector."""
+    """row (a number for each), vec_id, v (array<double>): the rows that take part. Not those with a null id or
+    vector, a null or non-finite component, or all zeros."""
     typed = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     good = typed.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).where(F.coalesce(finite, F.lit(False))).where(F.exists("v", lambda x: x != 0))
-    good = good.select("vec_id", F.transform("v", lambda x: x + 0.0).alias("v"))  # one zero, not two
-    width = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if width is None:
-        return good
-    return good.where(F.size("v") == width["d"]).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return good.select(F.monotonically_increasing_id().alias("row"), "vec_id", F.transform("v", lambda x: x + 0.0).alias("v"))  # one zero, not two
 
 
 def nodes_of(rows: DataFrame, keep: int) -> tuple[DataFrame, DataFrame]:
-    """Nodes (node, v), node being the least vec_id with that vector, and members (node, vec_id): the ``keep``
-    least of each, which are all that can be among the nearest. Frequent vectors are cut down in parts first."""
-    part = F.pmod(F.xxhash64("vec_id"), F.lit(64))
-    some = rows.withColumn("part", part).withColumn("k", F.row_number().over(Window.partitionBy("v", "part").orderBy("vec_id"))).where(F.col("k") <= keep)
-    least = some.withColumn("k", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("k") <= keep)
-    named = Saved(least.withColumn("node", F.min("vec_id").over(Window.partitionBy("v"))).select("node", "vec_id", "v"), "nodes")
-    return named.df.where("vec_id = node").select("node", "v"), named.df.select("node", "vec_id")
+    """Nodes (node, v), node being the least row with that vector, and members (node, row, vec_id): the ``keep``
+    least ids of each, which are all that can be among the nearest. Frequent vectors are cut down in parts first."""
+    part = F.pmod(F.xxhash64("row"), F.lit(64))
+    some = rows.withColumn("part", part).withColumn("k", F.row_number().over(Window.partitionBy("v", "part").orderBy("vec_id", "row"))).where(F.col("k") <= keep)
+    least = some.withColumn("k", F.row_number().over(Window.partitionBy("v").orderBy("vec_id", "row"))).where(F.col("k") <= keep)
+    named = Saved(least.withColumn("node", F.min("row").over(Window.partitionBy("v"))).select("node", "row", "vec_id", "v"), "nodes")
+    return named.df.where("row = node").select("node", "v"), named.df.select("node", "row", "vec_id")
 
 
 def _coded(nodes: DataFrame, planes: int, bits: int, width: int) -> DataFrame:
@@ -250,30 +246,48 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, nearest: int = NEAR
 
     Result: query_id, rank (from 1), vec_id, score (Euclidean distance, double). Ties go to the smaller vec_id;
     fewer candidates than ``nearest`` are all returned. Null, zero and non-finite vectors take no part, neither do
-    vectors of an unusual length or rows without an id; repeated vec_ids count once. Equal vectors under several
-    ids are all candidates. Other columns are not carried; no rows give no rows.
+    rows without an id. Rows that share a vec_id are rows of their own, as queries and as candidates; equal vectors
+    are all candidates. A distance needs vectors of one length, so each length is searched apart. Other columns are
+    not carried; no rows give no rows.
     """
     rows = Saved(usable(vectors), "vectors")
-    nodes, members = nodes_of(rows.df, nearest + 1)
+    widths = sorted(r[0] for r in rows.df.select(F.size("v")).distinct().collect())
+    found = [_nearest_of_width(rows.df.where(F.size("v") == w), w, is_query, nearest, links, beam) for w in widths]
+    if not found:
+        return rows.df.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return every
+
+
+def _nearest_of_width(rows: DataFrame, width: int, is_query: Column, nearest: int, links: int, beam: int) -> DataFrame:
+    nodes, members = nodes_of(rows, nearest + 1)
     nodes = Saved(nodes, "distinct")
     count = nodes.df.count()
-    width = len(nodes.df.first()["v"]) if count else 1
     bits = max(0, round(math.log2(max(1, count) / BUCKET)))
     coded = Saved(_coded(nodes.df, PLANES, bits, width), "codes")
     graph = neighbour_graph(coded.df, count, links)
-    asked = rows.df.where(is_query).select(F.col("vec_id").alias("query_id"), "v")
-    wanted = Saved(asked.join(nodes.df.select("node", "v"), "v").select("query_id", "node"), "queries")
-    queries = wanted.df.join(coded.df.select("node", "code"), "node").select("query_id", "node", "code")
+    asked = Saved(rows.where(is_query).select("row", F.col("vec_id").alias("query_id"), "v").join(nodes.df, "v").select("row", "query_id", "node"), "queries")
+    # equal queries are searched once
+    wanted = asked.df.select("node").distinct()
+    queries = wanted.join(coded.df.select("node", "code"), "node").select(F.col("node").alias("query_id"), "node", "code")
     beams = greedy_search(queries, graph.df, coded.df.select("node", "code"), max(beam, nearest + 1), links=links)
+    graph.drop()
+    coded.drop()
     near = nodes.df.select("node", "v")
     measured = (
-        beams.df.join(near, "node")
-        .join(wanted.df.join(near.withColumnRenamed("v", "q"), "node").select("query_id", "q"), "query_id")
-        .select("query_id", "node", F.sqrt(F.aggregate(F.zip_with("v", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)).alias("score"))
+        beams.df.withColumnRenamed("query_id", "own")
+        .join(near, "node")
+        .join(wanted.withColumnRenamed("node", "own").join(near.select(F.col("node").alias("own"), F.col("v").alias("q")), "own"), "own")
+        .select("own", "node", F.sqrt(F.aggregate(F.zip_with("v", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)).alias("score"))
     )
-    candidates = measured.join(members, "node").where("vec_id != query_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return candidates.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= nearest)
+    order = ["score", "vec_id", "row"]
+    # one more than asked for, as a query's own row is among them
+    best = measured.join(members, "node").withColumn("k", F.row_number().over(Window.partitionBy("own").orderBy(*order))).where(F.col("k") <= nearest + 1)
+    pairs = asked.df.select(F.col("row").alias("query_row"), "query_id", F.col("node").alias("own")).join(best, "own").where("row != query_row")
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(*order))
+    return pairs.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= nearest)
 
 
 def op4_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:

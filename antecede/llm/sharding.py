@@ -1,6 +1,8 @@
 """Operator 6 (DataFrame functions only). Sharding through fixed virtual slots.
 
-A record's key hashes to one of ``SLOTS`` virtual slots, for good. A small map says which shard holds each slot.
+A record hashes to one of ``SLOTS`` virtual slots, for good: by its identifier, size and checksum, so rows that share
+an identifier or have none are spread. Records that are alike in all three are dealt to slots by their place in the
+table, so that many copies of one are spread too. A small map says which shard holds each slot.
 The first map is made from the bytes in each slot (largest first, to the emptiest shard); later ones edit the
 map before, moving as few slots as bring the shards back within a tolerance, and each is stored as a new version.
 The law it keeps is ``bytes``: sizes near equal. Only the loads of the slots, at most ``SLOTS`` rows, reach the
@@ -21,9 +23,8 @@ SLOTS = 4096
 SHARDS = 24
 
 
-def slot_of(key: Column | str, slots: int = SLOTS) -> Column:
-    """The virtual slot of a key; a null key has one too."""
-    return F.pmod(F.xxhash64(key), F.lit(slots)).cast("int")
+#: Parts of a slot in which rows are numbered.
+PARTS = 16
 
 
 def slot_loads(records: DataFrame, slots: int = SLOTS) -> list[tuple[int, int]]:
@@ -95,10 +96,21 @@ def _lookup(values: list[int], slot: Column) -> Column:
     return F.get(F.from_json(F.lit(json.dumps(values)), "array<bigint>"), slot).cast("long")
 
 
-def sized(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size (UTF-8 bytes of the text plus 8; null text: 8), text_crc32, virtual_slot."""
+def sized(docs: DataFrame) -> DataFrame:
+    """doc_id, size (UTF-8 bytes of the text plus 8; null text: 8), text_crc32, place (a number for each row)."""
     text = F.col("text").cast("string")
-    return docs.select("doc_id", (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"), unsigned_crc32(text).alias("text_crc32"), slot_of("doc_id", slots).alias("virtual_slot"))
+    return docs.select("doc_id", (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"), unsigned_crc32(text).alias("text_crc32"), F.monotonically_increasing_id().alias("place"))
+
+
+def slotted(records: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """Adds virtual_slot and part to ``records(doc_id, size, text_crc32, place)``, which must be a written table."""
+    same = ["size", "text_crc32"]
+    copied = records.groupBy("doc_id", *same).count().where("count > 1").select(F.col("doc_id").alias("_doc_id"), *(F.col(c).alias(f"_{c}") for c in same))
+    alike = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("size") == F.col("_size")) & (F.col("text_crc32") == F.col("_text_crc32"))
+    own = F.when(F.col("_size").isNotNull(), F.col("place"))
+    slot = F.pmod(F.xxhash64("doc_id", *same, own), F.lit(slots)).cast("int")
+    part = F.pmod(F.xxhash64(F.lit("part"), "place"), F.lit(PARTS)).cast("int")
+    return records.join(copied, alike, "left").select("doc_id", *same, "place", slot.alias("virtual_slot"), part.alias("part"))
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, map_path: str | None = None, slots: int = SLOTS) -> DataFrame:
@@ -109,7 +121,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, map_path: str | None
     columns are not carried. No rows: an empty result and an empty map.
     """
     spark = docs.sparkSession
-    records = save(sized(docs, slots), "sized")
+    records = save(slotted(save(sized(docs), "sized"), slots), "slotted")
     loads = slot_loads(records, slots)
     if map_path is None:
         map_path, version, slot_map = new_path(spark, "slot-map"), 1, first_map(loads, shards)
@@ -126,10 +138,14 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, map_path: str | None
     for slot, (rows, _) in enumerate(loads):  # slots follow each other inside a shard
         begins.append(filled[slot_map[slot]])
         filled[slot_map[slot]] += rows
-    place = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")) - 1
-    return records.select(
+    # rows of a slot are numbered in parts: those of the parts before, then those before it in its own part
+    filled_parts = records.groupBy("virtual_slot", "part").agg(F.count("*").alias("n"))  # at most SLOTS * PARTS rows
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("virtual_slot").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("virtual_slot", "part").orderBy("doc_id", "text_crc32", "size", "place")) - 1
+    numbered = records.withColumn("own", own).join(filled_parts.select("virtual_slot", "part", before.alias("before")), ["virtual_slot", "part"])
+    return numbered.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), _lookup(slot_map, F.col("virtual_slot")).cast("int").alias("shard"),
-        (_lookup(begins, F.col("virtual_slot")) + place).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot",
+        (_lookup(begins, F.col("virtual_slot")) + F.col("before") + F.col("own")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot",
     )
 
 
