@@ -16,7 +16,7 @@ from .common import documents
 # The rules' patterns and limits.
 WORD = r"[^\x20\x09-\x0D]+"
 A_WORD = r"[^\x20\x09-\x0D]"
-SYMBOL = r"[#*$%&|<>]"
+SYMBOLS = "#*$%&|<>"
 NAVIGATION = r"\|[^|]*\|"
 BOILERPLATE = r"(?i)all rights reserved|licensed under|released under the|terms of (?:use|service)|privacy policy|cookie|enable javascript|lorem ipsum|copyright [0-9]|©"
 SENTENCE = r"[.!?;:。！？…][\"')\]»”’]*(?:[\x20\x09-\x0D]|$)"
@@ -46,10 +46,14 @@ def _covered(windows: Column) -> Column:
     return F.aggregate(gaps, F.lit(0).cast("long"), lambda total, x: total + x)
 
 
+def _symbols(text: Column) -> Column:
+    return F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
+
+
 def line_fails(line: Column) -> Column:
-    symbols = F.length(line) - F.length(F.regexp_replace(line, SYMBOL, ""))
-    words = F.length(line) - F.length(F.replace(line, F.lit(" "))) + 1
-    return line.rlike(NAVIGATION) | (symbols * SYMBOLS_PER_WORDS > words) | line.rlike(BOILERPLATE) | ~line.rlike(SENTENCE)
+    """The rules by rising cost; words are counted only where there are symbols."""
+    loaded = (_symbols(line) > 0) & (_symbols(line) * SYMBOLS_PER_WORDS > F.regexp_count(line, F.lit(WORD)))
+    return line.rlike(NAVIGATION) | loaded | ~line.rlike(SENTENCE) | line.rlike(BOILERPLATE)
 
 
 def clean_lines(docs: DataFrame) -> DataFrame:
@@ -71,7 +75,7 @@ def clean_lines(docs: DataFrame) -> DataFrame:
     )
     counted = windows.select(
         "doc_id", "n_words", "word_chars",
-        (F.length("t") - F.length(F.regexp_replace("t", f"{SYMBOL}+", ""))).cast("long").alias("n_symbols"),
+        _symbols(F.col("t")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.size(F.array_distinct("windows")) < F.size("windows"), _covered(F.col("windows"))).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
         F.array_join("left_lines", "\n").alias("clean_text"),
@@ -100,7 +104,7 @@ l AS (
 ok AS (
   SELECT doc_id, CAST(sum(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS BIGINT) AS n FROM l
   WHERE NOT regexp_matches(line, '\|[^|]*\|')
-    AND NOT len(regexp_extract_all(line, '[#*$%&|<>]')) * 5 > length(line) - length(replace(line, ' ', '')) + 1
+    AND NOT len(regexp_extract_all(line, '[#*$%&|<>]')) * 5 > len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))
     AND NOT regexp_matches(line, '(?i)all rights reserved|licensed under|released under the|terms of (?:use|service)|privacy policy|cookie|enable javascript|lorem ipsum|copyright [0-9]|©')
     AND regexp_matches(line, '[.!?;:。！？…]["'')\]»”’]*(?:[\x20\x09-\x0D]|$)')
   GROUP BY doc_id),
