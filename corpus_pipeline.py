@@ -23,9 +23,13 @@ LEAST_SCORE = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters or without a likely language; the others stay as they are."""
+    """Drops documents without letters or without a likely language; the others stay as they are. Where no document
+    has a label there is nothing to reject by, and all documents with a letter stay."""
     ship(spark)
-    scored = predict(docs, fit(docs))
+    model = fit(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
+    scored = predict(docs, model)
     return scored.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
 
