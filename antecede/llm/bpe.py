@@ -21,7 +21,7 @@ _SPLIT = {
     "word": re.compile(rf"'(?:[stmd]|re|ve|ll)|[{_LETTER}]+|[0-9]|[^\s{_LETTER}0-9]+"),
 }
 #: Pieces cached in one worker before the cache starts anew; bounds its memory.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 250_000
 
 
 def _byte_characters() -> dict[int, str]:

@@ -4,9 +4,9 @@ Texts with equal sets of five-word shingles are one class member from the start.
 sketch, whose coordinates are its sampled tokens. A run starts with all sets in one bucket. A bucket of more than
 ``SMALL`` sets is split: two coordinates, chosen by the bucket's path, and the values there name the buckets of
 the next level; a set goes to both. A small bucket is searched by brute force on the sketches. In a large one each
-set is compared with the bucket's centre first; those all but equal to it are linked to it and go no further, so a
-large group of near copies does not multiply from level to level. What is still large at the last level is compared
-in blocks. Two similar sets fail to meet in a run with a known chance, and runs are repeated until the chance that
+set is compared with the bucket's centre first, and linked to it if they have half in common. A bucket of linked sets
+alone is done; of others those go on that are not linked or may be similar to one that is not. So a large group of near
+copies does not multiply from level to level. What is still large at the last level is compared in blocks. Two similar sets fail to meet in a run with a known chance, and runs are repeated until the chance that
 they meet in one reaches the target recall.
 
 Sets that met and whose sketches may be as similar as asked make candidate components. Inside those every pair whose
@@ -34,13 +34,15 @@ TARGET_RECALL = 0.999
 #: Sketch coordinates; coordinates chosen at each bucket; levels; sets in a bucket that is searched directly.
 COORDINATES = 128
 CHOSEN = 2
-LEVELS = 8
+LEVELS = 5
 SMALL = 128
-#: Agreement with its centre at which a set leaves a large bucket, and how much less than others a link to it needs.
-ALIKE = 0.97
-LOOSER = 0.06
+#: Agreement with the centre of a large bucket at which a set is linked to it. A set similar to one that is not linked
+#: agrees with the centre by at most (1 - similarity) more than that one, and by ``NOISE``, five standard deviations
+#: of a sketch; one that agrees by more has no business in the bucket.
+LINKED = 0.5
+NOISE = 0.2
 #: Sets in a block of the exact comparison, and bytes; sketches in a block of a large last bucket.
-BLOCK = 768
+BLOCK = 400
 BLOCK_BYTES = 16 << 20
 SKETCH_BLOCK = 512
 _SEED = 20240229
@@ -153,18 +155,17 @@ def _glued(leaves: DataFrame, least: float, keys: int = 1) -> DataFrame:
     return leaves.mapInArrow(run, "a binary, b binary")
 
 
-def _centred(rows: DataFrame, least: float) -> DataFrame:
-    """From (path, node, sketch, centre, middle): the same with ``linked`` (near the centre ``middle``) and
-    ``alike`` (all but equal to it), without ``middle``."""
+def _centred(rows: DataFrame) -> DataFrame:
+    """From (path, node, sketch, centre, middle): the same with ``agreed``, the share of the sketch of ``middle`` that
+    is the same, instead of ``middle``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 own, middle = (_matrix(pa.chunked_array([batch.column(k)]), "<u4") for k in (2, 4))
-                agreed = (own == middle).mean(axis=1)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(agreed >= least), pa.array(agreed >= ALIKE)], ["path", "node", "sketch", "centre", "linked", "alike"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array((own == middle).mean(axis=1))], ["path", "node", "sketch", "centre", "agreed"])
 
-    return rows.mapInArrow(run, "path long, node binary, sketch binary, centre binary, linked boolean, alike boolean")
+    return rows.mapInArrow(run, "path long, node binary, sketch binary, centre binary, agreed double")
 
 
 def block_pairs(rows: DataFrame, group: str, blocks: DataFrame, *carried: str) -> DataFrame:
@@ -217,10 +218,12 @@ def candidate_components(sets: DataFrame, similarity: float, target: float) -> S
         # sketches of the centres come by their paths, of which there are at most one for SMALL rows
         centres = large.select("path", "centre").distinct().join(sets.select(F.col("node").alias("centre"), F.col("sketch").alias("middle")), "centre")
         rows = large.select("path", "node").join(sets, "node").join(centres, "path").select("path", "node", "sketch", "centre", "middle")
-        judged = Saved(_centred(rows, least - LOOSER), "centred")
+        judged = Saved(_centred(rows), "centred")
         made.append(judged)
-        links.append(judged.df.where("linked").select(F.col("node").alias("a"), F.col("centre").alias("b")))
-        left = judged.df.where("not alike").select("path", "node", "sketch")
+        linked = F.col("agreed") >= LINKED
+        links.append(judged.df.where(linked).select(F.col("node").alias("a"), F.col("centre").alias("b")))
+        apart = judged.df.where(~linked).groupBy("path").agg(F.max("agreed").alias("most"))
+        left = judged.df.join(apart, "path").where(~linked | (F.col("agreed") <= F.col("most") + (1 - similarity + NOISE))).select("path", "node", "sketch")
         if level < LEVELS:
             rows = _split(left, level, runs)
             continue
@@ -276,7 +279,7 @@ def similar(sets: list[bytes], similarity: float) -> np.ndarray:
     keep = count[number] > 1
     number, owner = shared[number[keep]], owner[keep]
     common = np.zeros((len(sets), len(sets)), np.float64)
-    width = 1 << 13
+    width = 1 << 12
     order = np.argsort(number, kind="stable")
     number, owner = number[order], owner[order]
     for at in range(0, int(number[-1]) + 1 if len(number) else 0, width):

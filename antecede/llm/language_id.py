@@ -28,7 +28,7 @@ SMOOTHING = 0.5
 #: The bound of the sample that a model is fitted on: documents of each language (about).
 FIT_DOCUMENTS = 4_000
 #: Characters worked on at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: The size of a model, and the buckets that it has at least; what needs more is no language column.
 MODEL_BYTES = 64 << 20
 LEAST_BUCKETS = 1 << 10

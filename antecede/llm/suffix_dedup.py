@@ -48,7 +48,7 @@ SAMPLE_DOCUMENTS = 2_000
 FREQUENT = 10
 MOST_FREQUENT = 4_096
 #: Windows of a text looked at together; places fit in the low bits of a key.
-_PART = 1 << 19
+_PART = 1 << 18
 _PLACE = np.uint64((1 << 20) - 1)
 _INT = np.int64
 _MIX = np.uint64(0xD6E8FEB86659FD93)
