@@ -31,10 +31,11 @@ from .components import components
 
 SIMILARITY = 0.8
 TARGET_RECALL = 0.999
-#: Sketch coordinates; coordinates chosen at each bucket; levels; sets in a bucket that is searched directly.
+#: Sketch coordinates; coordinates chosen at each bucket; least levels (tables of ten times the sets get one more);
+#: sets in a bucket that is searched directly.
 COORDINATES = 128
 CHOSEN = 2
-LEVELS = 5
+LEVELS = 2
 SMALL = 128
 #: Agreement with the centre of a large bucket at which a set is linked to it. A set similar to one that is not linked
 #: agrees with the centre by at most (1 - similarity) more than that one, and by ``NOISE``, five standard deviations
@@ -43,11 +44,16 @@ LINKED = 0.5
 NOISE = 0.2
 #: Sets in a block of the exact comparison, and bytes; sketches in a block of a large last bucket.
 BLOCK = 400
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 SKETCH_BLOCK = 512
 _SEED = 20240229
 
 
+def levels_for(sets: int) -> int:
+    """Levels of buckets: two for 100,000 sets, and one more for ten times as many."""
+    return max(LEVELS, round(math.log10(max(1, sets))) - 3)
+
+
 def runs_for(similarity: float, target: float, levels: int = LEVELS, chosen: int = CHOSEN) -> int:
     """Runs after which two sets of that similarity have met with the chance ``target``, at the deepest level."""
     meet = 1.0
@@ -198,11 +204,12 @@ def _trees(near: np.ndarray) -> Iterator[tuple[int, int]]:
 
 def candidate_components(sets: DataFrame, similarity: float, target: float) -> Saved:
     """(node, component) of the sets that may have a similar one, from ``sets(node, sketch)``."""
-    runs, least = runs_for(similarity, target), least_agreement(similarity)
+    levels = levels_for(sets.count())
+    runs, least = runs_for(similarity, target, levels), least_agreement(similarity)
     made: list[Saved] = []
     links: list[DataFrame] = []
     rows = _split(sets.select("node", "sketch"), 0, runs)
-    for level in range(1, LEVELS + 1):
+    for level in range(1, levels + 1):
         now = Saved(rows, "paths")
         sizes = now.df.groupBy("path").agg(F.count("*").alias("sets"), F.min("node").alias("centre")).where("sets > 1")
         shared = Saved(now.df.join(sizes, "path"), "shared")
@@ -224,7 +231,7 @@ def candidate_components(sets: DataFrame, similarity: float, target: float) -> S
         links.append(judged.df.where(linked).select(F.col("node").alias("a"), F.col("centre").alias("b")))
         apart = judged.df.where(~linked).groupBy("path").agg(F.max("agreed").alias("most"))
         left = judged.df.join(apart, "path").where(~linked | (F.col("agreed") <= F.col("most") + (1 - similarity + NOISE))).select("path", "node", "sketch")
-        if level < LEVELS:
+        if level < levels:
             rows = _split(left, level, runs)
             continue
         left = left.withColumn("class", F.lit(0).cast("long"))
@@ -320,7 +327,8 @@ def similar_classes(named: DataFrame, similarity: float = SIMILARITY, target: fl
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets_, pa.binary())], ["node", "shingles"])
 
     wanted = members.df.select(F.col("rep.doc").alias(DOC), F.col("rep.nth").alias(NTH), "node")
-    full = Saved(texts.join(wanted, [DOC, NTH]).select("node", "text").mapInArrow(reshingle, "node binary, shingles binary"), "shingles")
+    # merged at every size: a plan that held for small tables alone would tell nothing about large ones
+    full = Saved(texts.join(wanted.hint("merge"), [DOC, NTH]).select("node", "text").mapInArrow(reshingle, "node binary, shingles binary"), "shingles")
     blocks = members.df.groupBy("component", "class").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") * 8 / BLOCK_BYTES)).alias("blocks"))
     paired = block_pairs(members.df, "component", blocks, "copies")
     rows = paired.join(full.df, "node").select("component", "i", "j", "node", "block", "copies", "shingles")

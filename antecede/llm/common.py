@@ -36,11 +36,19 @@ def unsigned_crc32(column) -> F.Column:
 _shipped: set[str] = set()
 
 
+#: Bytes of an Arrow batch, of which a task holds a few on both sides.
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers, once for each application, wherever the driver found it."""
+    """Sends this package to the Python workers, once for each application, wherever the driver found it, and has
+    batches that go there bounded by bytes, as texts may be long."""
     import os
     import zipfile
 
+    if int(str(spark.conf.get(_BATCH, "0")).rstrip("b") or 0) not in range(1, BATCH_BYTES + 1):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
