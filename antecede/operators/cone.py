@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import hashlib
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.steps import Step
 from ..schema import HISTORY, KEY
 from .dag import edges
-from .order import depth
+from .order import depth, fits_tasks
 
 
 def _hash(payload, parents):
@@ -19,11 +19,14 @@ def _hash(payload, parents):
 
 
 def cone_hashes(events: DataFrame, distinct_parents: bool = False, known: DataFrame | None = None, method: str = "auto") -> DataFrame:
-    """history_id, id, cone_hash of every event with a complete ancestry, one join for each level.
+    """history_id, id, cone_hash of every event with a complete ancestry: in one task for each history where every
+    one fits (``grouped``), else one join for each level.
 
     ``distinct_parents`` counts equal parents once, which makes one pass enough for merging. ``known(history_id,
     id, cone_hash)`` are hashes that hold; only the other events are hashed, on top of them.
     """
+    if known is None and (method == "grouped" or method == "auto" and fits_tasks(events, payloads=True)):
+        return grouped_cone_hashes(events, distinct_parents)
     levels = Step(events.select(*KEY, "payload_json").join(depth(events, method), KEY), "levels").df
     links = Step(edges(events), "edges").df
     todo = levels if known is None else levels.join(known.select(*KEY), KEY, "left_anti")
@@ -45,26 +48,27 @@ def cone_hashes(events: DataFrame, distinct_parents: bool = False, known: DataFr
     return done
 
 
-def grouped_cone_hashes(events: DataFrame) -> DataFrame:
+def grouped_cone_hashes(events: DataFrame, distinct_parents: bool = False) -> DataFrame:
     """The same for many histories, however deep, each hashed in one task."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(table: pa.Table) -> pa.Table:
         need, kids, own = {}, {}, {}
-        for i, parents, payload in zip(pdf["id"], pdf["parents"], pdf["payload_json"], strict=True):
-            need[i], own[i] = len(parents), (payload, list(parents))
+        for i, parents, payload in zip(*(table[c].to_pylist() for c in ("id", "parents", "payload_json")), strict=True):
+            need[i], own[i] = len(parents), (payload, parents)
             for p in parents:
                 kids.setdefault(p, []).append(i)
         queue, cones = [i for i, n in need.items() if n == 0], {}
         for i in queue:
             payload, parents = own[i]
-            cones[i] = hashlib.sha256((payload + "".join(sorted(cones[p] for p in parents))).encode()).hexdigest()
+            hashes = [cones[p] for p in parents]
+            cones[i] = hashlib.sha256((payload + "".join(sorted(set(hashes) if distinct_parents else hashes))).encode()).hexdigest()
             for k in kids.get(i, ()):
                 need[k] -= 1
                 if need[k] == 0:
                     queue.append(k)
-        return pd.DataFrame({HISTORY: [pdf[HISTORY].iloc[0]] * len(cones), "id": list(cones), "cone_hash": list(cones.values())})
+        return pa.table([pa.array(c, pa.string()) for c in ([table[HISTORY][0].as_py()] * len(cones), list(cones), list(cones.values()))], [HISTORY, "id", "cone_hash"])
 
-    return events.select(*KEY, "parents", "payload_json").groupBy(HISTORY).applyInPandas(run, "history_id string, id string, cone_hash string")
+    return events.select(*KEY, "parents", "payload_json").groupBy(HISTORY).applyInArrow(run, "history_id string, id string, cone_hash string")
 
 
 def invalidated(events: DataFrame, cones: DataFrame, changed: DataFrame) -> DataFrame:

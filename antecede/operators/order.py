@@ -3,7 +3,7 @@ and those on a cycle have none, so they are in no order."""
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,15 +65,16 @@ def level_depth(events: DataFrame) -> DataFrame:
 def grouped_depth(events: DataFrame) -> DataFrame:
     """history_id, id, depth for many small histories: each is ordered in one task, in one pass over the data."""
 
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
+    def place(table: pa.Table) -> pa.Table:
         need, kids = {}, {}
-        for i, parents in zip(pdf["id"], pdf["parents"], strict=True):
+        for i, parents in zip(table["id"].to_pylist(), table["parents"].to_pylist(), strict=True):
             need[i] = len(parents)
             for p in parents:
                 kids.setdefault(p, []).append(i)
-        level, depth, out = [i for i, n in need.items() if n == 0], 0, []
+        level, depth, ids, depths = [i for i, n in need.items() if n == 0], 0, [], []
         while level:
-            out += [(i, depth) for i in level]
+            ids += level
+            depths += [depth] * len(level)
             after = []
             for i in level:
                 for k in kids.get(i, ()):
@@ -81,15 +82,30 @@ def grouped_depth(events: DataFrame) -> DataFrame:
                     if need[k] == 0:
                         after.append(k)
             level, depth = after, depth + 1
-        return pd.DataFrame({HISTORY: [pdf[HISTORY].iloc[0]] * len(out), "id": [i for i, _ in out], "depth": [d for _, d in out]})
+        return pa.table([pa.array([table[HISTORY][0].as_py()] * len(ids), pa.string()), pa.array(ids, pa.string()), pa.array(depths, pa.int64())], [HISTORY, "id", "depth"])
 
-    return events.select(*KEY, "parents").groupBy(HISTORY).applyInPandas(place, "history_id string, id string, depth long")
+    return events.select(*KEY, "parents").groupBy(HISTORY).applyInArrow(place, "history_id string, id string, depth long")
+
+
+#: The most events, and bytes of payloads and parents, of a history that one task takes as a whole.
+TASK_EVENTS = 1 << 20
+TASK_BYTES = 256 << 20
+
+
+def fits_tasks(events: DataFrame, payloads: bool = False) -> bool:
+    """Whether every history is within those bounds."""
+    own = F.length("id") + F.coalesce(F.aggregate("parents", F.lit(0), lambda n, x: n + F.length(x)), F.lit(0))
+    own = own + F.coalesce(F.length("payload_json"), F.lit(0)) if payloads else own
+    sizes = events.groupBy(HISTORY).agg(F.count("*").alias("n"), F.sum(own).alias("bytes"))
+    n, size = sizes.agg(F.max("n"), F.max("bytes")).first()
+    return (n or 0) <= TASK_EVENTS and (size or 0) <= TASK_BYTES
 
 
 def depth(events: DataFrame, method: str = "auto") -> DataFrame:
-    """history_id, id, depth. ``method``: forest, levels, grouped, or auto (forest where no event has two parents)."""
+    """history_id, id, depth. ``method``: grouped, forest, levels, or auto: grouped where every history fits a task,
+    whatever its depth; else forest where no event has two parents, and levels."""
     if method == "auto":
-        method = "levels" if not events.where(F.size("parents") > 1).isEmpty() else "forest"
+        method = "grouped" if fits_tasks(events) else "levels" if not events.where(F.size("parents") > 1).isEmpty() else "forest"
     return {"forest": forest_depth, "levels": level_depth, "grouped": grouped_depth}[method](events)
 
 

@@ -1,7 +1,8 @@
 """Reduction of a history to its normal form.
 
-Order of the rewrites: no-op elimination, merging of events with equal pasts, contraction of relay chains. Merging
-runs only where ids are not content hashes, or no-ops are left; contraction only with a predicate for relays.
+Order of the rewrites in a round: no-op elimination, merging of events with equal pasts, contraction of relay chains.
+Merging runs only where ids are not content hashes, or no-ops are left; contraction only with a predicate for relays.
+Rounds go on until one changes nothing, or has only eliminated no-ops, of which none is left then.
 """
 
 from __future__ import annotations
@@ -55,6 +56,8 @@ class Reduced:
     stats: Stats
     #: op (inserted, removed, reidentified), history_id, id, new_id
     delta: DataFrame
+    #: history_id, id, cone_hash, only where all rewrites are off
+    cones: DataFrame | None = None
 
     def is_empty(self) -> bool:
         return self.delta.isEmpty()
@@ -77,12 +80,13 @@ def eliminate_noops_in_chains(chain: DataFrame, *sequence: str) -> DataFrame:
     return chain.withColumn("parents", F.when(parent.isNull(), F.array().cast("array<string>")).otherwise(F.array(parent))).where(~is_noop())
 
 
-def merge_cones(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+def merge_cones(events: DataFrame, at_once: bool = False) -> tuple[DataFrame, DataFrame]:
     """Of events with equal pasts the least id stays. Gives the events and (history_id, id, kept).
 
-    One pass: the hashes count equal parents once, which is where repeated merging ends.
+    One round: what has the same parents only after it is left to the next. ``at_once`` counts equal parents once in
+    the hashes, which is where repeated rounds end.
     """
-    cones = Step(cone_hashes(events, distinct_parents=True), "cones").df
+    cones = Step(cone_hashes(events, distinct_parents=at_once), "cones").df
     kept = F.min("id").over(Window.partitionBy(HISTORY, "cone_hash"))
     merged = Step(cones.select(*KEY, kept.alias("kept")).where("id != kept"), "merged").df
     left = events.join(merged.select(*KEY), KEY, "left_anti")
@@ -109,36 +113,48 @@ def delta(before: DataFrame, after: DataFrame, renamed: DataFrame | None = None)
     return out if renamed is None else out.unionByName(renamed.select(F.lit("reidentified").alias("op"), *KEY, "new_id"))
 
 
+def _renamed(old: DataFrame, now: DataFrame) -> DataFrame:
+    """(history_id, id, new_id) of events whose parents a rewrite changed, and with them the hash."""
+    changed = now.alias("n").join(old.alias("o"), KEY).where("n.parents != o.parents")
+    return changed.select(*KEY, compute_id(F.col("n.payload_json"), F.col("n.parents")).alias("new_id")).where("id != new_id")
+
+
 def reduce(events: DataFrame, config: ReduceConfig | None = None, before: DataFrame | None = None) -> Reduced:
-    """The normal form. ``before``: the history before the events were added, for inserted ids; else as given."""
+    """The normal form, in at most ``max_iterations`` rounds. ``before``: the history before the events were added,
+    for inserted ids; else as given."""
     config = config or ReduceConfig()
-    start = events
     if config.enable_closure_check and not missing_ancestors(events).isEmpty():
         warnings.warn("the history is not causally closed", stacklevel=2)
     counts = events.agg(F.count("*"), F.count(F.when(is_noop(), 1))).first()
-    n_before, n_noops = counts[0], counts[1]
-    now, noops, merged, contracted, renamed = events, 0, 0, 0, None
-    rounds = 1
-    if config.enable_noop_elim and n_noops:
-        now, noops = Step(eliminate_noops(now), "reduced").df, n_noops
-    left_noops = n_noops - noops
-    if config.enable_cone_merge and (not config.assume_content_addressed or left_noops):
-        out, gone = merge_cones(now)
-        merged = gone.count()
-        if merged:
-            old, now = now, Step(out, "reduced").df
-            changed = now.alias("n").join(old.alias("o"), KEY).where("n.parents != o.parents")
-            renamed = changed.select(*KEY, compute_id(F.col("n.payload_json"), F.col("n.parents")).alias("new_id")).where("id != new_id")
-            rounds = 2  # the last confirms that nothing changes
-    if config.enable_chain_contract and config.passthrough is not None:
-        out, relays = contract_chains(now, config.passthrough)
-        contracted = relays.count()
-        if contracted:
-            now = Step(out, "reduced").df
-            rounds = max(rounds, 2)
-    rounds = min(rounds, config.max_iterations)
-    after = n_before - noops - merged - contracted
-    return Reduced(now, Stats(rounds, merged, contracted, noops, n_before, after), delta(before if before is not None else start, now, renamed))
+    size, left_noops = counts
+    now, iterations, noops, merged, contracted, renamed = events, 0, 0, 0, 0, None
+    while iterations < config.max_iterations:
+        iterations += 1
+        gone = cones = relayed = 0
+        if config.enable_noop_elim and left_noops:
+            now, gone, left_noops = Step(eliminate_noops(now), "reduced").df, left_noops, 0
+        if config.enable_cone_merge and (not config.assume_content_addressed or left_noops):
+            out, twins = merge_cones(now)
+            cones = twins.count()
+            if cones:
+                old, now = now, Step(out, "reduced").df
+                here = _renamed(old, now)
+                renamed = here if renamed is None else renamed.unionByName(here)
+                left_noops = now.where(is_noop()).count() if left_noops else 0
+        if config.enable_chain_contract and config.passthrough is not None:
+            out, relays = contract_chains(now, config.passthrough)
+            relayed = relays.count()
+            if relayed:
+                now = Step(out, "reduced").df
+                left_noops = now.where(is_noop()).count() if left_noops else 0
+        noops, merged, contracted = noops + gone, merged + cones, contracted + relayed
+        # a round that only took out the no-ops has left nothing that a further one could change
+        if not (gone or cones or relayed) or (not cones and not relayed and not left_noops):
+            break
+    idle = not (config.enable_cone_merge or config.enable_chain_contract or config.enable_noop_elim)
+    after = size - noops - merged - contracted
+    found = delta(before if before is not None else events, now, renamed)
+    return Reduced(now, Stats(iterations, merged, contracted, noops, size, after), found, cone_hashes(now) if idle else None)
 
 
 def stats_frame(spark, stats: Stats) -> DataFrame:

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from .functions.identity import compute_id, data_payload, hash_parents, hash_payload
 from .operators import dag, order, project, reduce, replicate
-from .operators.cone import cone_hashes, isomorphic_groups
+from .operators.cone import cone_hashes, isomorphic_groups, refreshed
 from .plans.steps import new_path
 from .schema import GENESIS_ID, HISTORY, KEY
 from .sources import builders as B
-from .sources.snapshot import recover, write_snapshot
-from .sources.wal import FileStore, to_lines
+from .sources.snapshot import from_json, recover, replay, to_json, write_snapshot
+from .sources.wal import FileStore, parse_lines, to_lines
 from .streaming.ingest import HistoryTable, read_log
 from .streaming.stateful import PROVIDER, stream_depth
 
@@ -164,68 +164,43 @@ def topo_drops_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order.forest_depth(B.replicas(spark, sf_dir)[0]).select("id", "depth")
 
 
-_ASKED = "SELECT i FROM (SELECT DISTINCT i FROM g) WHERE i % 997 = 5"
+_UP = f"{_G}, up(i, p) AS (SELECT i, p FROM g UNION SELECT up.i, g.p FROM up JOIN g ON g.i = up.p)"
 
 
-@query(f"WITH RECURSIVE {_G}, a(i, p) AS (SELECT i, p FROM g WHERE i IN ({_ASKED}) UNION SELECT a.i, g.p FROM a JOIN g ON g.i = a.p) SELECT {_p('i')} AS id, {_p('p')} AS ancestor FROM a")
+@query(f"WITH RECURSIVE {_UP} SELECT {_p('i')} AS id, {_p('p')} AS ancestor FROM up")
 def ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = B.two_parents(spark, sf_dir)
-    return dag.ancestors(events, events.where(F.col("id").cast("long") % 997 == 5).select(*KEY)).select("id", "ancestor")
-
-
-_ALL_UP = f"{_G}, up(i, p) AS (SELECT i, p FROM g UNION SELECT up.i, g.p FROM up JOIN g ON g.i = up.p)"
-
-
-@query(f"WITH RECURSIVE {_ALL_UP} SELECT {_p('i')} AS id, {_p('p')} AS ancestor FROM up")
-def ancestors_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ancestors of every event; ``ancestors`` asks for a few."""
+    """The ancestors of every event."""
     events = B.two_parents(spark, sf_dir)
     return dag.ancestors(events, events.select(*KEY)).select("id", "ancestor")
 
 
 def _pairs(events: DataFrame) -> DataFrame:
-    """Each event with an id that 211 divides, and the one 10 times nearer to the root."""
-    some = events.where((F.col("id").cast("long") % 211 == 0) & (F.col("id").cast("long") > 0))
+    """Each event but the first, and the one 10 times nearer to the root."""
+    some = events.where(F.col("id").cast("long") > 0)
     return some.select(HISTORY, B.pad(F.expr("CAST(id AS BIGINT) div 10")).alias("a"), F.col("id").alias("b"))
 
 
-_PAIRS = "pr AS (SELECT i // 10 AS a, i AS b FROM (SELECT DISTINCT i FROM g) WHERE i % 211 = 0)"
-_UP = "up(i, p) AS (SELECT i, p FROM g WHERE i IN (SELECT a FROM pr UNION SELECT b FROM pr) UNION SELECT up.i, g.p FROM up JOIN g ON g.i = up.p)"
+_PAIRS = "pr AS (SELECT DISTINCT i // 10 AS a, i AS b FROM g)"
 
 
-@query(f"WITH RECURSIVE {_G}, {_PAIRS}, {_UP} SELECT {_p('a')} AS a, {_p('b')} AS b, (b, a) IN (SELECT (i, p) FROM up) AS precedes FROM pr")
+@query(f"WITH RECURSIVE {_UP}, {_PAIRS} SELECT {_p('a')} AS a, {_p('b')} AS b, (b, a) IN (SELECT (i, p) FROM up) AS precedes FROM pr")
 def precedes(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = B.two_parents(spark, sf_dir)
     return dag.causally_precedes(events, _pairs(events)).select("a", "b", "precedes")
 
 
-@query(f"WITH RECURSIVE {_G}, {_PAIRS}, {_UP} SELECT {_p('a')} AS a, {_p('b')} AS b, a <> b AND NOT ((b, a) IN (SELECT (i, p) FROM up) OR (a, b) IN (SELECT (i, p) FROM up)) AS concurrent FROM pr")
+@query(f"WITH RECURSIVE {_UP}, {_PAIRS} SELECT {_p('a')} AS a, {_p('b')} AS b, a <> b AND NOT ((b, a) IN (SELECT (i, p) FROM up) OR (a, b) IN (SELECT (i, p) FROM up)) AS concurrent FROM pr")
 def concurrent(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = B.two_parents(spark, sf_dir)
     return dag.are_concurrent(events, _pairs(events)).select("a", "b", "concurrent")
 
 
-def _all_pairs(events: DataFrame) -> DataFrame:
-    """Each event but the first, and the one 10 times nearer to the root."""
-    some = events.where(F.col("id").cast("long") > 0)
-    return some.select(HISTORY, B.pad(F.expr("CAST(id AS BIGINT) div 10")).alias("a"), F.col("id").alias("b"))
-
-
-_ALL_PAIRS = "pr AS (SELECT DISTINCT i // 10 AS a, i AS b FROM g)"
-
-
-@query(f"WITH RECURSIVE {_ALL_UP}, {_ALL_PAIRS} SELECT {_p('a')} AS a, {_p('b')} AS b, (b, a) IN (SELECT (i, p) FROM up) AS precedes FROM pr")
-def precedes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pair of every event; ``precedes`` judges a few."""
-    events = B.two_parents(spark, sf_dir)
-    return dag.causally_precedes(events, _all_pairs(events)).select("a", "b", "precedes")
-
-
-@query(f"WITH RECURSIVE {_ALL_UP}, {_ALL_PAIRS} SELECT {_p('a')} AS a, {_p('b')} AS b, a <> b AND NOT ((b, a) IN (SELECT (i, p) FROM up) OR (a, b) IN (SELECT (i, p) FROM up)) AS concurrent FROM pr")
-def concurrent_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pair of every event; ``concurrent`` judges a few."""
+@query(f"""WITH RECURSIVE {_G}, x(i, p) AS (SELECT i, p FROM g WHERE i % 4 <> 2 UNION SELECT x.i, g.p FROM x JOIN g ON g.i = x.p WHERE x.p % 4 = 2)
+  SELECT {_p('i')} AS child, {_p('p')} AS parent FROM x WHERE p % 4 <> 2 GROUP BY i, p""")
+def remove_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fourth event is removed; its children inherit its parents."""
     events = B.two_parents(spark, sf_dir)
-    return dag.are_concurrent(events, _all_pairs(events)).select("a", "b", "concurrent")
+    return dag.edges(dag.remove(events, events.where(F.col("id").cast("long") % 4 == 2).select(*KEY))).select("child", "parent")
 
 
 # --- reduction ----------------------------------------------------------------------------------------------
@@ -270,6 +245,23 @@ def cone_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cone_hashes(B.labelled_documents(spark, sf_dir)).select("id", "cone_hash")
 
 
+@query(ORACLE_SQL["cone_hash"])
+def cone_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh document counts as changed: it and its label are hashed again, on top of the other hashes."""
+    events = B.labelled_documents(spark, sf_dir)
+    cones = cone_hashes(events)
+    changed = events.where(F.substring("id", 1, 1) == "d").where(F.substring("id", 2, 12).cast("long") % 7 == 0)
+    return refreshed(events, cones, changed).select("id", "cone_hash")
+
+
+@query("SELECT CAST(4 AS BIGINT) AS iterations, 3 * count(*) AS cones_merged, CAST(0 AS BIGINT) AS chains_contracted, CAST(0 AS BIGINT) AS noops_eliminated, 6 * count(*) + 1 AS events_before, 3 * count(*) + 1 AS events_after FROM events")
+def reduce_stats_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three pairs of twins for each event, each pair alike only when the one before is merged: three rounds that
+    merge and one that finds nothing."""
+    config = reduce.ReduceConfig(assume_content_addressed=False)
+    return reduce.stats_frame(spark, reduce.reduce(B.twins(spark, sf_dir), config).stats)
+
+
 @query(f"WITH {_DOCS} SELECT h AS cone_hash, count(*) AS n, min(id) AS first_id FROM n GROUP BY h HAVING count(*) > 1")
 def isomorphic_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return isomorphic_groups(cone_hashes(B.labelled_documents(spark, sf_dir))).select("cone_hash", "n", "first_id")
@@ -366,8 +358,8 @@ def snapshot_recover(spark: SparkSession, sf_dir: str) -> DataFrame:
     every, i = B.two_parents(spark, sf_dir), F.col("id").cast("long")
     store = FileStore(spark, new_path(spark, "wal"))
     store.append(every)
-    early = reduce.reduce(every.where((i % 4 != 0) | (i == 0))).events
-    snapshot = write_snapshot(early, new_path(spark, "snapshots"), 1, early.count(), 0)
+    early = reduce.reduce(every.where((i % 4 != 0) | (i == 0)))
+    snapshot = write_snapshot(early.events, new_path(spark, "snapshots"), 1, early.stats.events_after, 0)
     out, n = recover(snapshot, store)
     return out.events.select("id", F.lit(n).cast("long").alias("replayed"))
 
@@ -381,6 +373,53 @@ def wal_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.load_all().select("id", "tag", hash_payload("payload_json").alias("payload_hash"), F.array_join("parents", ",").alias("parents"))
 
 
+@query(ORACLE_SQL["wal_roundtrip"])
+def wal_foreign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of another writer: fields in another order, white space, a field of its own."""
+    parents = F.when(F.size("parents") == 0, F.lit("[ ]")).otherwise(F.concat(F.lit('[ "'), F.array_join("parents", '" , "'), F.lit('" ]')))
+    loose = F.regexp_replace("payload_json", '([:,{}])"', '$1 "')
+    lines = B.two_parents(spark, sf_dir).select(F.concat(F.lit('{ "parents" : '), parents, F.lit(', "payload":'), loose, F.lit(', "id": "'), "id", F.lit('", "payload2": 1 }')).alias("value"))
+    return parse_lines(lines, hash_safe=True).select("id", "tag", hash_payload("payload_json").alias("payload_hash"), F.array_join("parents", ",").alias("parents"))
+
+
+@query(f"SELECT {_p('event_id')} AS id, row_number() OVER (ORDER BY event_id % 2, event_id) - 1 AS ingest_seq FROM events")
+def wal_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even events are appended, then odd ones, then some of both again, which keep their first place."""
+    every, i = B.two_parents(spark, sf_dir), F.col("id").cast("long")
+    store = FileStore(spark, new_path(spark, "wal"))
+    for part in (every.where(i % 2 == 0), every.where(i % 2 == 1), every.where(i % 3 == 0)):
+        store.append(part.coalesce(1).sortWithinPartitions("id"))
+    return store.in_order().select("id", "ingest_seq")
+
+
+@query(ORACLE_SQL["noop_elim_dag"])
+def replay_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history from the whole log, reduced."""
+    store = FileStore(spark, new_path(spark, "wal"))
+    store.append(B.two_parents(spark, sf_dir))
+    return dag.edges(replay(store)[0].events).select("child", "parent")
+
+
+@query(ORACLE_SQL["edges"])
+def snapshot_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A snapshot to JSON lines and back."""
+    snapshot = write_snapshot(B.two_parents(spark, sf_dir), new_path(spark, "snapshots"), 3, 7, 11)
+    back = from_json(to_json(snapshot))
+    same = F.lit((back.seq, back.timestamp, back.source_event_count) == (3, 11, 7))
+    return dag.edges(back.events.where(same)).select("child", "parent")
+
+
+@query(ORACLE_SQL["kv_after_merge"])
+def stream_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same stream by two tables on one path, the second opened after the first has ended."""
+    every, i = B.two_parents(spark, sf_dir), F.col("id").cast("long")
+    lines, path = new_path(spark, "stream-wal"), new_path(spark, "stream")
+    for part in (every.where(i % 2 == 1), every.where(i % 2 == 0).unionByName(every.where(i % 10 == 1))):
+        to_lines(part).coalesce(1).write.mode("append").text(lines)
+        HistoryTable(spark, path).follow(read_log(spark, lines)).awaitTermination()
+    return HistoryTable(spark, path).state("key_value").select("key", "val")
+
+
 @query(ORACLE_SQL["kv_after_merge"])
 def stream_kv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The graph comes as a stream of log files, late events first and some twice; the same state as in batch."""

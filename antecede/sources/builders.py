@@ -118,3 +118,15 @@ def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = F.concat(F.lit("q"), F.coalesce(F.col("quality").cast("string"), F.lit("-")), F.lit("t"), F.coalesce(F.col("toxic").cast("string"), F.lit("-")))
     lab = labels.select(F.lit("main").alias(HISTORY), F.concat(F.lit("l"), pad("doc_id")).alias("id"), F.lit("Data").alias("tag"), F.lit("label").alias("kind"), own.alias("payload_json"), F.array(F.concat(F.lit("d"), pad("doc_id"))).alias("parents"))
     return root.unionByName(d).unionByName(lab).select(*COLUMNS)
+
+
+def twins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six events for each test event below one root: a and b with one payload; c below both and d below a, with one
+    payload; e below c and d and f below c, with one payload. Ids are no hashes."""
+    rows = _events(spark, sf_dir).select(F.explode(F.array(*map(F.lit, "abcdef"))).alias("x"), "i")
+    root = spark.range(1).select(F.lit("main").alias(HISTORY), F.lit("0").alias("id"), F.lit("Genesis").alias("tag"), F.lit(None).cast("string").alias("kind"), F.lit('"Genesis"').alias("payload_json"), F.array().cast(NO_PARENTS).alias("parents"))
+    own = lambda *names: F.array(*(F.concat(F.lit(n), pad("i")) for n in names))
+    parents = F.when(F.col("x").isin("a", "b"), F.array(F.lit("0"))).when(F.col("x") == "c", own("a", "b")).when(F.col("x") == "d", own("a")).when(F.col("x") == "e", own("c", "d")).otherwise(own("c"))
+    payload = F.concat(F.translate("x", "abcdef", "aaccee"), F.col("i").cast("string"))
+    made = rows.select(F.lit("main").alias(HISTORY), F.concat("x", pad("i")).alias("id"), F.lit("Data").alias("tag"), F.lit("set").alias("kind"), payload.alias("payload_json"), parents.alias("parents"))
+    return root.unionByName(made).select(*COLUMNS)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.dag import union
 from ..operators.reduce import ReduceConfig, Reduced, reduce
+from ..plans.steps import Step
 from ..schema import EVENTS, KEY
 from .wal import Store
 
@@ -56,11 +57,11 @@ def wal_tail(snapshot: Snapshot, wal: DataFrame) -> DataFrame:
 
 def recover(snapshot: Snapshot, store: Store, config: ReduceConfig | None = None) -> tuple[Reduced, int]:
     """The history from a snapshot and the log after it, reduced once, and how many events were replayed."""
-    tail = wal_tail(snapshot, store.load_all())
+    tail = Step(wal_tail(snapshot, store.load_all()), "tail").df
     return reduce(union(snapshot.events, tail), config, before=snapshot.events), tail.count()
 
 
 def replay(store: Store, config: ReduceConfig | None = None) -> tuple[Reduced, int]:
     """The history from the whole log."""
-    events = store.load_all()
+    events = Step(store.load_all(), "log").df
     return reduce(events, config), events.count()

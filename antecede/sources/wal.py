@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.identity import canonical
+from ..plans.steps import numbered
 from ..schema import COLUMNS, EVENTS, HISTORY, KEY
 
 
@@ -28,30 +29,33 @@ class Store(Protocol):
 
 def to_lines(events: DataFrame) -> DataFrame:
     """One column ``value``; the payload is written as it was hashed."""
-    parents = F.when(F.size("parents") == 0, F.lit("[]")).otherwise(F.concat(F.lit('["'), F.array_join("parents", '","'), F.lit('"]')))
-    return events.select(F.concat(F.lit('{"id":"'), F.col("id"), F.lit('","parents":'), parents, F.lit(',"payload":'), F.col("payload_json"), F.lit("}")).alias("value"))
+    head = F.to_json(F.struct("id", "parents"))
+    return events.select(F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"payload":'), F.col("payload_json"), F.lit("}")).alias("value"))
 
 
-def parse_lines(lines: DataFrame, strict: bool = True, history: Column | str = "main", hash_safe: bool = False) -> DataFrame:
+def parse_lines(lines: DataFrame, strict: bool = True, history: Column | str = "main", hash_safe: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Events from a column ``value``. Blank lines are skipped; a bad line fails the whole read, or (not strict)
-    goes to rows with ``_corrupt``. ``hash_safe``: payloads of other writers are put into canonical form."""
+    goes to rows with ``_corrupt``. ``hash_safe``: payloads of other writers are put into canonical form. ``keep``:
+    further columns that stay."""
     name = F.lit(history) if isinstance(history, str) else history
     parsed = lines.where(F.trim("value") != "").withColumn("v", F.try_parse_json("value"))
     payload = F.try_variant_get("v", "$.payload", "variant")
     kind = F.try_variant_get("v", "$.payload.Data.kind", "string")
-    # lines of to_lines keep the payload's own bytes; from other writers it is what the parser makes of it
-    text = F.regexp_extract("value", r'(?s)^\{"id":"[^"]*","parents":\[[^\]]*\],"payload":(.*)\}$', 1)
-    raw = F.when(text != "", text).otherwise(F.to_json(payload))
+    # where the payload is the last of three fields its own bytes are kept; else it is what the parser makes of it
+    string = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+    head = rf'\s*\{{\s*"id"\s*:\s*{string}\s*,\s*"parents"\s*:\s*\[[^\]"]*+(?:{string}[^\]"]*+)*+\]\s*,\s*"payload"\s*:\s*'
+    text = F.rtrim(F.regexp_extract("value", rf"(?s)^{head}(.*)\}}\s*$", 1))
+    raw = F.when((text != "") & (F.size(F.json_object_keys("value")) == 3), text).otherwise(F.to_json(payload))
     tag = F.when(kind.isNotNull(), F.lit("Data")).otherwise(F.try_variant_get(payload, "$", "string"))
     rows = parsed.select(
         name.alias(HISTORY), F.try_variant_get("v", "$.id", "string").alias("id"), tag.alias("tag"), kind.alias("kind"),
-        (canonical(raw) if hash_safe else raw).alias("payload_json"), F.array_sort(F.array_distinct(F.try_variant_get("v", "$.parents", "array<string>"))).alias("parents"), "value",
+        (canonical(raw) if hash_safe else raw).alias("payload_json"), F.array_sort(F.array_distinct(F.try_variant_get("v", "$.parents", "array<string>"))).alias("parents"), "value", *keep,
     )
     good = F.col("id").isNotNull() & F.col("tag").isin("Data", "Noop", "Genesis") & F.col("parents").isNotNull()
     if not strict:
         return rows.select(*COLUMNS, F.when(~F.coalesce(good, F.lit(False)), F.col("value")).alias("_corrupt"))
     checked = F.when(F.coalesce(good, F.lit(False)), F.col("id")).otherwise(F.raise_error(F.concat(F.lit("bad line: "), F.col("value"))))
-    return rows.withColumn("id", checked).select(*COLUMNS)
+    return rows.withColumn("id", checked).select(*COLUMNS, *keep)
 
 
 class MemoryStore:
@@ -81,9 +85,7 @@ class MemoryStore:
 
 class FileStore:
     """A log in a directory of JSON lines. Appending does not look for duplicates; reading takes each id once.
-
-    Appends are numbered, so the order between them is kept; a missing directory is an empty log.
-    """
+    A missing directory is an empty log."""
 
     def __init__(self, spark: SparkSession, path: str, history: str = "main"):
         self.spark, self.path, self.history = spark, path, history
@@ -104,6 +106,15 @@ class FileStore:
         found = parse_lines(self.lines(), strict, self.history)
         return found.dropDuplicates(KEY)
 
+    def in_order(self) -> DataFrame:
+        """Events with ``ingest_seq``, their place in the log from 0: files by the time they were written, then by
+        name, and lines as they stand in them; of equal ids the first."""
+        placed = self.lines().select("value", F.col("_metadata.file_modification_time").alias("_time"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+        rows = parse_lines(placed.withColumn("_line", F.monotonically_increasing_id()), True, self.history, keep=("_time", "_file", "_block", "_line"))
+        order = ("_time", "_file", "_block", "_line")
+        first = rows.groupBy(*KEY).agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("x")).select("x.*")
+        return numbered(first, *order, name="ingest_seq").select(*COLUMNS, "ingest_seq")
+
     def known_ids(self) -> DataFrame:
         """Ids as stored."""
         return parse_lines(self.lines(), True, self.history).select(*KEY).distinct()

@@ -39,51 +39,64 @@ def deduplicated(stream: DataFrame, watermark: tuple[str, str] | None = None) ->
 
 
 class HistoryTable:
-    """The events table that a stream writes, one folder for each batch, and the state of the projections."""
+    """The events table that a stream writes, one folder for each batch, and the state of the projections.
+
+    A table opened on the path of an earlier one goes on where that one ended. A batch counts when the marker
+    written after all of its folders is there; one that was cut short is taken anew by the stream, in place.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None, projections: tuple[str, ...] = ("key_value",), config: ReduceConfig | None = None):
         self.spark, self.path, self.projections, self.config = spark, path or new_path(spark, "stream"), projections, config
         self.subscribers: list[Callable[[int, DataFrame], None]] = []
-        self.batches = 0
+        self.batches = self._finished()
+
+    def _fs(self, name: str):
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return target, target.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _finished(self) -> int:
+        """One more than the number of the last batch with a marker."""
+        folder, fs = self._fs("finished")
+        names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+        return max((int(n) + 1 for n in names), default=0)
 
     def subscribe(self, callback: Callable[[int, DataFrame], None]) -> None:
         """``callback(batch, delta)`` after every batch."""
         self.subscribers.append(callback)
 
-    def _folder(self, batch: int) -> str:
-        return f"{self.path}/events/batch={batch}"
+    def _read(self, name: str, batches: int) -> DataFrame:
+        """One of the tables, up to that batch; the folder of a batch is a partition."""
+        return self.spark.read.parquet(f"{self.path}/{name}").where(F.col("batch") < batches)
+
+    def _events(self, batches: int) -> DataFrame:
+        if not batches:
+            return self.spark.createDataFrame([], EVENTS)
+        return self._read("events", batches).select(*EVENTS.fieldNames())
 
     def events(self) -> DataFrame:
         """All events taken in, each id once."""
-        found = self.spark.createDataFrame([], EVENTS)
-        if self.batches:
-            found = self.spark.read.schema(EVENTS).parquet(*(self._folder(b) for b in range(self.batches)))
-        return found
+        return self._events(self.batches)
 
     def state(self, projection: str) -> DataFrame:
         """The newest state of every history."""
-        parts = [self.spark.read.parquet(f"{self.path}/{projection}/batch={b}").withColumn("_b", F.lit(b)) for b in range(self.batches)]
-        touched = [self.spark.read.parquet(f"{self.path}/touched/batch={b}").withColumn("_b", F.lit(b)) for b in range(self.batches)]
-        if not parts:
+        if not self.batches:
             return project(self.events(), projection)
-        every, last = parts[0], touched[0]
-        for p, t in zip(parts[1:], touched[1:], strict=True):
-            every, last = every.unionByName(p), last.unionByName(t)
-        newest = last.groupBy(HISTORY).agg(F.max("_b").alias("_b"))
-        return every.join(newest, [HISTORY, "_b"], "left_semi").drop("_b")
+        newest = self._read("touched", self.batches).groupBy(HISTORY).agg(F.max("batch").alias("batch"))
+        return self._read(projection, self.batches).join(newest, [HISTORY, "batch"], "left_semi").drop("batch")
 
     def take(self, batch: DataFrame, number: int) -> None:
-        known = self.events()
+        known = self._events(number)
         fresh = batch.dropDuplicates(KEY).join(known.select(*KEY), KEY, "left_anti")
-        fresh.select(*EVENTS.fieldNames()).write.mode("overwrite").parquet(self._folder(number))
-        new = self.spark.read.schema(EVENTS).parquet(self._folder(number))
-        touched = new.select(HISTORY).distinct()
-        touched.write.mode("overwrite").parquet(f"{self.path}/touched/batch={number}")
+        fresh.select(*EVENTS.fieldNames()).write.mode("overwrite").parquet(f"{self.path}/events/batch={number}")
+        new = self.spark.read.schema(EVENTS).parquet(f"{self.path}/events/batch={number}")
+        new.select(HISTORY).distinct().write.mode("overwrite").parquet(f"{self.path}/touched/batch={number}")
         touched = self.spark.read.parquet(f"{self.path}/touched/batch={number}")
         before = known.join(touched, HISTORY, "left_semi")
         out = reduce(insert(before, new), self.config, before=before)
         for name in self.projections:
             project(out.events, name).write.mode("overwrite").parquet(f"{self.path}/{name}/batch={number}")
+        marker, fs = self._fs(f"finished/{number}")
+        fs.create(marker, True).close()
         self.batches = max(self.batches, number + 1)
         for callback in self.subscribers:
             callback(number, out.delta)

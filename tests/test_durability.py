@@ -156,3 +156,41 @@ def test_stream_depth_waits_for_parents(spark):
         spark.conf.set(PROVIDER[0], before)
     got = [(r["history_id"], r["id"], r["depth"]) for r in spark.table("depths").collect()]
     assert len(got) == len(set(got)) and {(h, i): d for h, i, d in got} == model_depth(rows)
+
+
+def test_a_stream_goes_on_after_a_restart(spark):
+    """A table opened anew on the same path, also where a batch was cut short before its marker was written."""
+    lines, path = new_path(spark, "lines"), new_path(spark, "stream")
+    every = chain(9, "increment")
+    for part in (every[:4], every[4:]):
+        to_lines(frame(spark, part)).coalesce(1).write.mode("append").text(lines)
+        HistoryTable(spark, path, ("counter",)).follow(read_log(spark, lines)).awaitTermination()
+    again = HistoryTable(spark, path, ("counter",))
+    assert again.batches == 2 and ids(again.events()) == ids(frame(spark, every))
+    want = project(frame(spark, every), "counter").collect()
+    assert again.state("counter").collect() == want
+    fs = again._fs("finished/1")
+    fs[1].delete(fs[0], False)
+    cut = HistoryTable(spark, path, ("counter",))
+    assert cut.batches == 1 and len(ids(cut.events())) == 4
+    cut.take(frame(spark, every[4:]), 1)
+    assert ids(cut.events()) == ids(frame(spark, every)) and cut.state("counter").collect() == want
+
+
+def test_lines_with_odd_ids_and_fields(spark):
+    odd = frame(spark, [genesis(), data("set", {"key": "k", "val": "]},{"}, [GENESIS_ID])])
+    odd = odd.withColumn("id", F.concat("id", F.lit('"\\\n]'))).withColumn("parents", F.transform("parents", lambda p: F.concat(p, F.lit('",["'))))
+    back = parse_lines(to_lines(odd))
+    assert back.exceptAll(odd).isEmpty() and odd.exceptAll(back).isEmpty()
+    more = spark.createDataFrame([('{"id":"x","parents":["p"],"payload":{"Data":{"kind":"k","value":1}},"note":{"a":"}"}}',)], "value string")
+    row = parse_lines(more).first()
+    assert row["payload_json"] == '{"Data":{"kind":"k","value":1}}' and row["parents"] == ["p"]
+
+
+def test_order_of_arrival(spark):
+    store, events = FileStore(spark, new_path(spark, "wal")), frame(spark, chain(6)).coalesce(1)
+    for part in (events.where("tag = 'Noop'"), events, events.limit(2)):
+        store.append(part)
+    rows = store.in_order().orderBy("ingest_seq").collect()
+    assert [r["ingest_seq"] for r in rows] == list(range(7)) and [r["tag"] for r in rows[:2]] == ["Noop", "Noop"]
+    assert sorted(r["id"] for r in rows) == sorted(i for _, i in ids(events))

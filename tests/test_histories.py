@@ -204,3 +204,28 @@ def test_shapes(spark):
         assert dag.is_causally_closed(out.events)
     big = reduce.reduce(B.noop_chain(spark, 5000, 1)).events
     assert big.count() == 1
+
+
+def test_rounds_of_merging(spark):
+    """Seven events of which each pair of twins is alike only when the one before is merged."""
+    own = [("a", []), ("a", []), ("c", [1, 2]), ("c", [1]), ("e", [3, 4]), ("e", [3])]
+    rows = [("h", "0", "Genesis", None, '"Genesis"', [])]
+    rows += [("h", str(k), "Data", "set", f'{{"Data":{{"kind":"set","value":"{p}"}}}}', sorted(map(str, above)) or ["0"]) for k, (p, above) in enumerate(own, 1)]
+    events = spark.createDataFrame(rows, EVENTS)
+    for rounds, merged, left in ((1, 1, {"0", "1", "3", "4", "5", "6"}), (2, 2, {"0", "1", "3", "5", "6"}), (3, 3, {"0", "1", "3", "5"}), (1000, 3, {"0", "1", "3", "5"})):
+        out = reduce.reduce(events, reduce.ReduceConfig(assume_content_addressed=False, max_iterations=rounds))
+        assert (out.stats.iterations, out.stats.cones_merged, out.stats.events_after) == (min(rounds, 4), merged, 7 - merged)
+        assert {r["id"] for r in out.events.collect()} == left
+    at_once = reduce.merge_cones(events, at_once=True)
+    assert {r["id"] for r in at_once[0].collect()} == {"0", "1", "3", "5"} and at_once[1].count() == 3
+    idle = reduce.reduce(events, reduce.ReduceConfig(enable_cone_merge=False, enable_chain_contract=False, enable_noop_elim=False))
+    assert idle.cones.count() == 7 and idle.stats.iterations == 1 and reduce.reduce(events).cones is None
+
+
+def test_cones_and_depth_of_a_deep_chain(spark):
+    """A chain deeper than any number of rounds of jobs would do."""
+    chain = B.linear(spark, 20_000)
+    assert order.depth(chain).agg(F.max("depth"), F.count("*")).first() == (20_000, 20_001)
+    assert cone.cone_hashes(chain).select(F.countDistinct("cone_hash")).first()[0] == 20_001
+    few = B.linear(spark, 3)
+    assert {tuple(r) for r in cone.cone_hashes(few).collect()} == {tuple(r) for r in cone.cone_hashes(few, method="levels").collect()}
