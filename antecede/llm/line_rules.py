@@ -16,7 +16,7 @@ from .common import documents
 # The rules' patterns and limits.
 WORD = r"[^\x20\x09-\x0D]+"
 A_WORD = r"[^\x20\x09-\x0D]"
-SYMBOLS = "#*$%&|<>"
+SYMBOL = r"[#*$%&|<>]"
 NAVIGATION = r"\|[^|]*\|"
 BOILERPLATE = r"(?i)all rights reserved|licensed under|released under the|terms of (?:use|service)|privacy policy|cookie|enable javascript|lorem ipsum|copyright [0-9]|©"
 SENTENCE = r"[.!?;:。！？…][\"')\]»”’]*(?:[\x20\x09-\x0D]|$)"
@@ -46,13 +46,9 @@ def _covered(windows: Column) -> Column:
     return F.aggregate(gaps, F.lit(0).cast("long"), lambda total, x: total + x)
 
 
-def _symbols(text: Column) -> Column:
-    return F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
-
-
 def line_fails(line: Column) -> Column:
-    """The rules by rising cost; words are counted only where there are symbols."""
-    loaded = (_symbols(line) > 0) & (_symbols(line) * SYMBOLS_PER_WORDS > F.regexp_count(line, F.lit(WORD)))
+    """Symbols and words are counted only where there is a symbol."""
+    loaded = line.rlike(SYMBOL) & (F.regexp_count(line, F.lit(SYMBOL)) * SYMBOLS_PER_WORDS > F.regexp_count(line, F.lit(WORD)))
     return line.rlike(NAVIGATION) | loaded | ~line.rlike(SENTENCE) | line.rlike(BOILERPLATE)
 
 
@@ -75,7 +71,7 @@ def clean_lines(docs: DataFrame) -> DataFrame:
     )
     counted = windows.select(
         "doc_id", "n_words", "word_chars",
-        _symbols(F.col("t")).cast("long").alias("n_symbols"),
+        (F.length("t") - F.length(F.regexp_replace("t", f"{SYMBOL}+", ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.size(F.array_distinct("windows")) < F.size("windows"), _covered(F.col("windows"))).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
         F.array_join("left_lines", "\n").alias("clean_text"),
