@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from functools import reduce as _fold
 
 from pyspark.sql import DataFrame
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..schema import HISTORY, KEY
 from .dag import union
+from .messages import messages as messages, parse_messages as parse_messages
 from .reduce import ReduceConfig, Reduced, reduce
 
 #: Merging checks that the result is closed.
@@ -78,23 +79,3 @@ def as_replicas(events: DataFrame, replica: str) -> DataFrame:
 
 def stats_frame(spark, stats: SyncStats) -> DataFrame:
     return spark.createDataFrame([(stats.peer_id, stats.sent, stats.received)], "peer_id string, sent long, received long")
-
-
-def messages(kind: str, rows: DataFrame) -> DataFrame:
-    """Wire messages as JSON lines: have and want carry ids, events and push carry events."""
-    if kind in ("have", "want"):
-        body = rows.groupBy(HISTORY).agg(F.array_sort(F.collect_list("id")).alias("ids"))
-        return body.select(F.to_json(F.struct(F.lit(kind).alias("type"), "ids")).alias("line"))
-    return rows.select(F.to_json(F.struct(F.lit(kind).alias("type"), F.struct("id", "payload_json", "parents").alias("event"))).alias("line"))
-
-
-def parse_messages(lines: DataFrame) -> DataFrame:
-    """Back from JSON lines: type, id (of ids or of the event), payload_json, parents. Other types have no rows."""
-    m = F.from_json("line", "type string, ids array<string>, event struct<id string, payload_json string, parents array<string>>")
-    read = lines.select(m.alias("m"))
-    ids = read.where("m.type IN ('have', 'want')").select("m.type", F.explode("m.ids").alias("id"), F.lit(None).cast("string").alias("payload_json"), F.lit(None).cast("array<string>").alias("parents"))
-    return ids.unionByName(read.where("m.event IS NOT NULL").select("m.type", "m.event.id", "m.event.payload_json", "m.event.parents"))
-
-
-def with_config(config: ReduceConfig, **changes) -> ReduceConfig:
-    return replace(config, **changes)

@@ -7,14 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import demo as examples
+from .exchange import Connection, answer, call, push_to, talk
 from .functions.identity import compute_id, data_payload, hash_parents, hash_payload
+from .kernel import DurableKernel, Node
 from .operators import dag, order, project, reduce, replicate
 from .operators.cone import cone_hashes, isomorphic_groups, refreshed
+from .operators.messages import events_in, messages, parse_messages
 from .plans.steps import new_path
 from .schema import GENESIS_ID, HISTORY, KEY
 from .sources import builders as B
 from .sources.snapshot import from_json, recover, replay, to_json, write_snapshot
-from .sources.wal import FileStore, parse_lines, to_lines
+from .sources.wal import FileStore, MemoryStore, parse_lines, to_lines
 from .streaming.ingest import HistoryTable, read_log
 from .streaming.stateful import PROVIDER, stream_depth
 
@@ -449,6 +453,103 @@ def stream_chain_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
+# --- nodes, messages, examples ------------------------------------------------------------------------------
+
+
+@query(ORACLE_SQL["wal_roundtrip"])
+def message_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a part of a message and back."""
+    back = events_in(parse_messages(messages("events", B.two_parents(spark, sf_dir))))
+    return back.select("id", "tag", hash_payload("payload_json").alias("payload_hash"), F.array_join("parents", ",").alias("parents"))
+
+
+def _nodes(spark: SparkSession, sf_dir: str) -> tuple[list[Node], list[Connection]]:
+    """Two nodes with the replicas, and a connection."""
+    nodes, path = [Node(spark, "A"), Node(spark, "B")], new_path(spark, "link")
+    for node, part in zip(nodes, B.replicas(spark, sf_dir), strict=True):
+        node.batch_append(part)
+    return nodes, [Connection(spark, path, "A", "B"), Connection(spark, path, "B", "A")]
+
+
+_BOTH = f"""WITH {_T}, {_R}, x AS (SELECT {_p('i')} AS id FROM (SELECT i FROM ra UNION SELECT i FROM rb) UNION ALL SELECT '{GENESIS_ID}'),
+  na AS (SELECT count(*) AS n FROM ra WHERE i NOT IN (SELECT i FROM rb)), nb AS (SELECT count(*) AS n FROM rb WHERE i NOT IN (SELECT i FROM ra))"""
+
+
+@query(f"""{_BOTH} SELECT 'A' AS node, id, (SELECT n FROM na) AS sent, (SELECT n FROM nb) AS received FROM x
+  UNION ALL SELECT 'B', id, (SELECT n FROM nb), (SELECT n FROM na) FROM x""")
+def sync_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both nodes after a dialogue in messages, with what each sent and received."""
+    (a, b), (la, lb) = _nodes(spark, sf_dir)
+    stats = talk(call(a, la), answer(b, lb))
+    held = [n.events.select(F.lit(n.name).alias("node"), "id", F.lit(s.sent).cast("long").alias("sent"), F.lit(s.received).cast("long").alias("received")) for n, s in zip((a, b), stats, strict=True)]
+    return held[0].unionByName(held[1])
+
+
+@query(f"WITH {_T}, {_R} SELECT {_p('i')} AS id FROM (SELECT i FROM rb UNION SELECT i FROM ra WHERE i % 2 = 0) UNION ALL SELECT '{GENESIS_ID}'")
+def push_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second node after the first has pushed its even events, which it has in part."""
+    (a, b), (la, lb) = _nodes(spark, sf_dir)
+    even = a.events.where(F.col("id").try_cast("long") % 2 == 0)
+    talk(push_to(a, even, la), answer(b, lb))
+    return b.events.select("id")
+
+
+@query(f"SELECT line_number, value FROM (SELECT row_number() OVER (ORDER BY event_id) AS line_number, event_id, 'bad ' || {_p('event_id')} AS value FROM events) WHERE event_id % 10 = 3")
+def wal_bad_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenth line of a log is none; their numbers."""
+    store, i = FileStore(spark, new_path(spark, "wal")), F.col("id").cast("long")
+    lines = to_lines(B.two_parents(spark, sf_dir), ("id",)).coalesce(1).sortWithinPartitions("id")
+    lines.select(F.when(i % 10 == 3, F.concat(F.lit("bad "), "id")).otherwise(F.col("value")).alias("value")).write.text(store.path)
+    return store.bad_lines().select("line_number", "value")
+
+
+@query(ORACLE_SQL["wal_order"])
+def store_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same three appends as of the log, to a store without lines."""
+    every, i = B.two_parents(spark, sf_dir), F.col("id").cast("long")
+    store = MemoryStore(spark)
+    for part in (every.where(i % 2 == 0), every.where(i % 2 == 1), every.where(i % 3 == 0)):
+        store.append(part.coalesce(1).sortWithinPartitions("id"))
+    return store.in_order().select("id", "ingest_seq")
+
+
+@query(f"SELECT {_p('event_id')} AS id, (SELECT count(*) FROM events WHERE event_id % 2 = 1 OR event_id % 3 = 1) AS replayed FROM events WHERE event_id % 3 <> 1 UNION ALL SELECT '{GENESIS_ID}', (SELECT count(*) FROM events WHERE event_id % 2 = 1 OR event_id % 3 = 1)")
+def durable_recover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A kernel takes in the even events, which makes a snapshot, then the odd ones; another restores it."""
+    every, i = B.two_parents(spark, sf_dir), F.col("id").try_cast("long")
+    store, path = MemoryStore(spark), new_path(spark, "snapshots")
+    kernel = DurableKernel(spark, store, path, interval=1)
+    kernel.append(every.where(i % 2 == 0))
+    kernel.interval = 0
+    kernel.append(every.where(i % 2 == 1))
+    again = DurableKernel(spark, store, path)
+    n = again.restore(kernel.latest_snapshot())
+    return again.events.select("id", F.lit(n).cast("long").alias("replayed"))
+
+
+@query(f"WITH {_U} SELECT history_id, string_agg(CAST(k AS VARCHAR), ',' ORDER BY seq) || ',' AS state FROM u WHERE t <> 'error' GROUP BY history_id")
+def fold_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fold that depends on the order: the numbers of each user one after the other."""
+    chain = order.chain_depth(B.user_chains(spark, sf_dir), "ts", "i")
+    return project.fold(chain, F.get_json_object("payload_json", "$.Data.value.val"), F.lit(""), lambda s, v: F.concat(s, v, F.lit(",")), "set")
+
+
+@query(f"""WITH {_U} SELECT history_id, CAST(coalesce(sum(k) FILTER (t <> 'error' AND i % 4 <> 0), 0) AS BIGINT) AS total FROM u GROUP BY history_id
+  HAVING count(*) FILTER (i % 2 = 0) > 0 OR count(*) FILTER (t <> 'error' AND i % 2 = 1) > 0""")
+def retract_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of the even events, then the odd ones come and every fourth goes again."""
+    every, i = _increments(B.user_chains(spark, sf_dir)), F.col("i")
+    change = every.where((i % 2 == 1) | (i % 4 == 0)).withColumn("sign", F.when(i % 2 == 1, 1).otherwise(-1))
+    return project.signed_counter(project.counter(every.where(i % 2 == 0)), change)
+
+
+@query(f"""SELECT * FROM (VALUES ('key_value', 'name', 'Bob'), ('key_value', 'role', 'admin'), ('key_value', 'events', '4'), ('counter', 'total', '17'), ('counter', 'events', '6'),
+  ('log', '0', 'system started'), ('log', '1', 'user logged in'), ('log', '2', 'action performed'), ('log', 'events', '4'),
+  ('convergence', 'A', '250'), ('convergence', 'B', '250'), ('convergence', 'events', '5')) x(example, name, value)""")
+def demo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return examples.run(spark)
+
+
 # --- the shapes of the benchmark ----------------------------------------------------------------------------
 
 
