@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernel import Node
-from .operators.messages import events_in, ids_in, messages, note, parse_messages
+from .operators.messages import FIELDS, events_in, ids_in, messages, note, parse_messages
 from .operators.replicate import SyncStats, diff, serve, want
 from .plans.steps import Step
 from .schema import KEY
@@ -52,7 +52,13 @@ class Connection:
         self.sent += 1
 
     def note(self, kind: str, value: str | int | None = None) -> None:
-        self.send(note(self.spark, kind, value))
+        """A message without rows, written without a job."""
+        target, fs = self._at(f"{self.own}/{self.sent}/line")
+        out = fs.create(target, True)
+        out.write(note(kind, value).encode())
+        out.close()
+        self._mark(f"{self.own}/{self.sent}.sent")
+        self.sent += 1
 
     def close(self) -> None:
         self._mark(f"{self.own}/closed")
@@ -65,7 +71,9 @@ class Connection:
             yield
         lines = self.spark.read.schema("line string").text(f"{self.other}/{self.received}")
         self.received += 1
-        parsed = Step(parse_messages(lines, history), "message").df
+        parsed = parse_messages(lines, history)
+        if any(FIELDS[kind] in ("ids", "events") for kind in due):
+            parsed = Step(parsed, "message").df
         kinds = sorted(r["type"] for r in parsed.select("type").distinct().collect())  # as many as there are types
         if kinds == ["error"]:
             raise ProtocolError(parsed.first()["message"])

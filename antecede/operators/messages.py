@@ -7,9 +7,10 @@ a line and keep their payload's bytes; of several in a line of another writer th
 
 from __future__ import annotations
 
+import json
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import HISTORY
@@ -35,13 +36,12 @@ PER_LINE = 1000
 _WIRE = f"type string, {HISTORY} string, node_id string, count long, message string, ids array<string>, events array<string>"
 
 
-def note(spark: SparkSession, kind: str, value: str | int | None = None) -> DataFrame:
-    """A message without rows: a greeting, an acknowledgement, an error or a farewell."""
+def note(kind: str, value: str | int | None = None) -> str:
+    """The line of a message without rows: a greeting, an acknowledgement, an error or a farewell."""
     name = FIELDS[kind]
     if name in ("ids", "events"):
         raise ValueError(f"{kind} is made of rows")
-    own = [F.lit(value).alias(name)] if name else []
-    return spark.range(1).select(F.to_json(F.struct(F.lit(kind).alias("type"), *own)).alias("line"))
+    return json.dumps({"type": kind} | ({name: value} if name else {}), ensure_ascii=False)
 
 
 def messages(kind: str, rows: DataFrame, per_line: int = PER_LINE) -> DataFrame:

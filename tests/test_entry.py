@@ -13,7 +13,7 @@ import __spark_entry__ as entry
 from .conftest import ROOT, SF
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = ["payload_hash", "event_ids", "frontier", "missing_ancestors", "depth", "noop_elim_chain", "noop_elim_dag", "cone_merge", "kv_state", "kv_after_merge", "log_state", "two_phase_set", "snapshot_recover", "wal_roundtrip"]
+SOME = ["payload_hash", "event_ids", "frontier", "missing_ancestors", "depth", "noop_elim_chain", "noop_elim_dag", "cone_merge", "kv_state", "kv_after_merge", "log_state", "two_phase_set", "snapshot_recover", "wal_roundtrip", "wal_bad_lines", "message_roundtrip", "retract_counter"]
 
 
 @pytest.fixture(scope="module")

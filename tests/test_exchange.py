@@ -30,8 +30,9 @@ def test_messages_of_every_type(spark):
             lines = messages(kind, events, per_line=2)
             assert lines.count() > 1 and ids(ids_in(parse_messages(lines))) == ids(events)
         else:
-            row = parse_messages(note(spark, kind, 7 if field == "count" else 'x "y"')).first()
-            assert row["type"] == kind and (field is None or row[field] == (7 if field == "count" else 'x "y"'))
+            said = 7 if field == "count" else 'é "y"'
+            row = parse_messages(spark.createDataFrame([(note(kind, said),)], "line string")).first()
+            assert row["type"] == kind and (field is None or row[field] == said)
     for kind in ("have", "events"):
         empty = parse_messages(messages(kind, events.limit(0)))
         assert [r["type"] for r in empty.collect()] == [kind] and ids_in(empty).isEmpty() and events_in(empty).isEmpty()
