@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from antecede.llm import bpe, chosen_path, language_id, line_rules, mixing, nn_descent, packing, sharding, shingles, sstable, suffix_dedup, url_filter
+from antecede.llm import components as component_steps
 from antecede.llm.common import new_path, ship
 from antecede.llm.components import components
 
@@ -539,6 +540,29 @@ def test_components(spark):
     assert got == {n: find(n) for n in list(par) if any(n in e for e in links if e[0] != e[1])}
 
 
+def test_components_in_few_steps(spark, monkeypatch):
+    made = []
+
+    class Counted(component_steps.Saved):
+        def __init__(self, df, name):
+            made.append(name)
+            super().__init__(df, name)
+
+    monkeypatch.setattr(component_steps, "Saved", Counted)
+    path = [(k, k + 1) for k in range(400)]
+    random.Random(4).shuffle(path)
+    plain = {k: 0 for k in range(401)}
+    for most, partitions, tables in ((200_000, 1, 1), (200_000, 4, 3), (10, 4, 99)):
+        made.clear()
+        monkeypatch.setattr(component_steps, "AT_ONCE", most)
+        links = spark.createDataFrame(path, "a long, b long").repartition(partitions)
+        assert {r["node"]: r["component"] for r in components(links).df.collect()} == plain
+        assert len(made) <= tables, (most, partitions, made)
+    made.clear()
+    assert components(spark.createDataFrame([(b"b", b"a"), (b"a", b"c"), (b"c", b"a"), (b"d", b"d")], "a binary, b binary")).df.count() == 3 and len(made) == 1
+    assert components(spark.createDataFrame([], "a binary, b binary")).df.count() == 0
+
+
 def brute_repeats(rows, threshold):
     seen, out = set(), []
     for i, t in rows:
